@@ -6,8 +6,6 @@ A digest is read as a big-endian integer and reduced modulo the filter length by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Names of the hash families.
@@ -22,22 +20,21 @@ CHUNK = 8
 def digest_residue(hex_digest: Column, digits: int, modulus: Column) -> Column:
     """Residue of a hexadecimal digest of ``digits`` digits."""
     step = F.pmod(F.lit(1 << 32), modulus)
-
-    def push(acc: Column, start: int) -> Column:
-        chunk = F.conv(F.substring(hex_digest, start, CHUNK), 16, 10).cast("bigint")
-        return F.pmod(acc * step + chunk, modulus)
-
-    return reduce(push, range(1, digits + 1, CHUNK), F.lit(0).cast("bigint"))
+    starts = F.array(*[F.lit(i) for i in range(1, digits + 1, CHUNK)])
+    chunks = F.transform(starts, lambda i: F.conv(hex_digest.substr(i, F.lit(CHUNK)), 16, 10).cast("bigint"))
+    return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda acc, c: F.pmod(acc * step + c, modulus))
 
 
-def residues(token: Column, modulus: Column) -> dict[str, Column]:
-    """Residues of the three digests of a token under their column names."""
+def residues(token: Column, modulus: Column, families: set[str]) -> dict[str, Column]:
+    """Residues of a token's digests under their column names; the widest digest only if a family uses it."""
     raw = F.encode(token, "UTF-8")
-    return {
+    found = {
         "md5_mod": digest_residue(F.md5(raw), 32, modulus),
         "sha256_mod": digest_residue(F.sha2(raw, 256), 64, modulus),
-        "sha512_mod": digest_residue(F.sha2(raw, 512), 128, modulus),
     }
+    if TRIPLE in families:
+        found["sha512_mod"] = digest_residue(F.sha2(raw, 512), 128, modulus)
+    return found
 
 
 def enhanced_term(round_no: Column, mode: str = "literal") -> Column:
@@ -53,13 +50,14 @@ def enhanced_term(round_no: Column, mode: str = "literal") -> Column:
     raise ValueError(f"unknown enhanced mode {mode!r}")
 
 
-def position(family: Column, round_no: Column, modulus: Column, mode: str = "literal") -> Column:
+def position(
+    family: Column, round_no: Column, modulus: Column, families: set[str], mode: str = "literal"
+) -> Column:
     """Bit position of hash round ``round_no`` (1..k) from the residue columns."""
-    twice = F.col("md5_mod") + round_no * F.col("sha256_mod")
-    triangle = round_no * (round_no - 1) / F.lit(2)
-    term = (
-        F.when(family == TRIPLE, triangle.cast("bigint") * F.col("sha512_mod"))
-        .when(family == ENHANCED, enhanced_term(round_no, mode).cast("bigint"))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    return F.pmod(twice + term, modulus)
+    term = F.lit(0).cast("bigint")
+    if ENHANCED in families:
+        term = F.when(family == ENHANCED, enhanced_term(round_no, mode).cast("bigint")).otherwise(term)
+    if TRIPLE in families:
+        triangle = (round_no * (round_no - 1) / F.lit(2)).cast("bigint")
+        term = F.when(family == TRIPLE, triangle * F.col("sha512_mod")).otherwise(term)
+    return F.pmod(F.col("md5_mod") + round_no * F.col("sha256_mod") + term, modulus)

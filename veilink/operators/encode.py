@@ -76,9 +76,10 @@ def token_positions(tokens: DataFrame, configs: Sequence[LinkConfig], mode: str
     if "config_id" in tokens.columns:
         hashed = hashed.where(F.col("c.config_id") == F.col("config_id"))
     hashed = hashed.select("attr_idx", "token", "c.*")
-    hashed = hashed.withColumns(hashing.residues(F.col("token"), F.col("modulus")))
+    families = {c.hash for c in configs}
+    hashed = hashed.withColumns(hashing.residues(F.col("token"), F.col("modulus"), families))
     rounds = hashed.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("k"))))
-    return rounds.withColumn("pos", hashing.position(F.col("hash"), F.col("round"), F.col("modulus"), mode))
+    return rounds.withColumn("pos", hashing.position(F.col("hash"), F.col("round"), F.col("modulus"), families, mode))
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ def codebook(
     offset = F.when(F.col("encoding") == CLK, 0).otherwise(F.col("attr_idx") * F.col("m"))
     bits = placed.select(
         "config_id", "attr_idx", "token", "encoding", (F.col("pos") + offset).cast("int").alias("src")
-    ).distinct()
+    )
     if any(c.encoding == RLB for c in configs):
         gather = F.broadcast(gather_lists(spark, configs))
         bit = F.when(F.col("encoding") == RLB, F.col("dst")).otherwise(F.col("src"))

@@ -53,7 +53,7 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
         ]
     )
 
-    def link(a_rows: pa.Table, b_rows: pa.Table) -> pa.Table:
+    def link(a_rows, b_rows):
         a_rows = a_rows.sort_by("ord")
         words_a, words_b = word_matrix(a_rows["words"]), word_matrix(b_rows["words"])
         copies, ids = a_rows["copies"].to_numpy(), a_rows["id_a"].to_numpy()
@@ -78,7 +78,7 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
         columns["candidates"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), candidates)
         return pa.table(columns)
 
-    def meet(a_rows: pa.Table, b_rows: pa.Table) -> pa.Table:
+    def meet(a_rows, b_rows):
         if b_rows.num_rows and a_rows.num_rows:
             return link(a_rows, b_rows)
         return empty
@@ -124,7 +124,7 @@ def search_all(distinct: DistinctFilters, encoded_b: DataFrame, keep: list[str],
     parsed = T.DataType.fromDDL(schema)
     empty = _empty(parsed)
 
-    def compare(a_rows: pa.Table, b_rows: pa.Table) -> pa.Table:
+    def compare(a_rows, b_rows):
         if not (a_rows.num_rows and b_rows.num_rows):
             return empty
         a_rows = a_rows.sort_by("ord")

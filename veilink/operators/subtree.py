@@ -14,10 +14,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def word_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list<int64> column of equal lengths as an (n, words) matrix."""
+    """A list<int64> column of equal lengths as an (n, words) matrix, unsigned for counting bits."""
     rows = len(column)
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1).astype("<i8", copy=False)
+    return flat.reshape(rows, -1).astype("<i8", copy=False).view("<u8")
 
 
 def bit_matrix(words: np.ndarray) -> np.ndarray:

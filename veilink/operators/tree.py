@@ -141,7 +141,7 @@ def leaf_of(tree: Tree) -> DataFrame:
     """Leaf of every distinct filter: (config_id, id_a, node_path)."""
     group = tree.group
 
-    def finish(key, rows: pa.Table) -> pa.Table:
+    def finish(key, rows):
         sub = grow(bit_matrix(word_matrix(rows["words"])), rows["copies"].to_numpy(), group)
         root = key[1].as_py()
         paths = np.array([root + p for p in sub.path], dtype=object)[sub.leaf_of]
@@ -162,7 +162,7 @@ def splits_of(tree: Tree) -> DataFrame:
     """All inner nodes of the tree: (config_id, node_path, bit)."""
     group = tree.group
 
-    def finish(key, rows: pa.Table) -> pa.Table:
+    def finish(key, rows):
         sub = grow(bit_matrix(word_matrix(rows["words"])), rows["copies"].to_numpy(), group)
         inner = np.flatnonzero(sub.bit >= 0)
         root = key[1].as_py()
