@@ -14,30 +14,28 @@ def word_count(size: int) -> int:
     return -(-size // WORD)
 
 
-def word_mask(bit: Column, index: int) -> Column:
-    """The bit as a mask if it lies in word ``index``, else null (bit_or skips nulls)."""
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(WORD)).cast("int"))
-    return F.when(F.floor(bit / WORD) == index, one)
+def or_words(bit: str, words: int) -> list[Column]:
+    """Aggregates w0..w(n-1): the OR of all positions of a group, one fixed-width long per word.
 
-
-def or_words(bit: Column, words: int) -> list[Column]:
-    """Aggregates w0..w(n-1): the OR of all positions of a group, one fixed-width long per word."""
-    return [F.bit_or(word_mask(bit, i)).alias(f"w{i}") for i in range(words)]
+    A position outside a word is null for it, which bit_or skips.
+    """
+    mask = f"shiftleft(1L, cast({bit} % {WORD} as int))"
+    return [F.expr(f"bit_or(case when {bit} div {WORD} = {i} then {mask} end) as w{i}") for i in range(words)]
 
 
 def merge_words(words: int) -> list[Column]:
     """Aggregates w0..w(n-1): the OR of partial filters."""
-    return [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(words)]
+    return [F.expr(f"bit_or(w{i}) as w{i}") for i in range(words)]
 
 
 def pack(words: int) -> Column:
-    return F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0).cast("bigint")) for i in range(words)])
+    """The words as one array; a word that no position reached is 0."""
+    return F.expr("array(" + ", ".join(f"coalesce(w{i}, 0L)" for i in range(words)) + ")")
 
 
-def bit_at(words: Column, bit: Column) -> Column:
-    """0 or 1."""
-    word = F.get(words, F.floor(bit / WORD).cast("int"))
-    return F.bit_get(word, F.pmod(bit, F.lit(WORD)).cast("int"))
+def bit_test(words: str, bit: str) -> str:
+    """SQL text of the bit's value, 0 or 1."""
+    return f"bit_get(get({words}, cast({bit} div {WORD} as int)), cast({bit} % {WORD} as int))"
 
 
 def set_bits(filters: DataFrame, size: int) -> DataFrame:
@@ -46,13 +44,18 @@ def set_bits(filters: DataFrame, size: int) -> DataFrame:
     A constant range is exploded and filtered; both steps stay in generated code.
     """
     kept = [c for c in filters.columns if c != "words"]
-    ranged = filters.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    return ranged.where(bit_at(F.col("words"), F.col("bit")) == 1).select(*kept, "bit")
+    ranged = filters.withColumn("bit", F.expr(f"explode(sequence(0, {size - 1}))"))
+    return ranged.where(bit_test("words", "bit") + " = 1").select(*kept, "bit")
 
 
 def dense(words: Column, size: int) -> Column:
     """Export form: array<int> of 0 and 1, length ``size``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: bit_at(words, b).cast("int"))
+
+    def value(bit: Column) -> Column:
+        word = F.get(words, F.floor(bit / WORD).cast("int"))
+        return F.bit_get(word, F.pmod(bit, F.lit(WORD)).cast("int")).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
 
 
 def cardinality(words: Column, n: int) -> Column:

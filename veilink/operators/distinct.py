@@ -24,6 +24,9 @@ class DistinctFilters:
 
     def aliases(self) -> DataFrame:
         """(config_id, member, id_a) of the records that are represented by another id."""
+        if not self.filters.seen["repeated"]:
+            # A known-empty side lets the planner drop the joins with it.
+            return self.encoded.sparkSession.createDataFrame([], "config_id int, member bigint, id_a bigint")
         repeated = self.filters.frame.where(F.col("copies") > 1).select("config_id", "words", "id_a")
         words = self.filters.seen["words"] or 0
         if self.filters.seen["repeated"] * (48 + 8 * words) <= 64 * 1024 * 1024:

@@ -114,7 +114,7 @@ def codebook(
     else:
         bits = bits.withColumnRenamed("src", "bit")
     words = bitwords.word_count(widest(configs))
-    book = bits.groupBy("config_id", "attr_idx", "token").agg(*bitwords.or_words(F.col("bit"), words))
+    book = bits.groupBy("config_id", "attr_idx", "token").agg(*bitwords.or_words("bit", words))
     return Codebook(store(book, "codebook"), words)
 
 

@@ -38,21 +38,22 @@ class Tree:
 
 
 def descend(rows: DataFrame, levels: list[Stored], path: str = "path") -> DataFrame:
-    """Walk rows down the upper tree.  Keeps the node in ``path`` and its figures in ``n`` and ``d``."""
+    """Walk rows down the upper tree by joins with its levels.
+
+    The node is kept in ``path``; if present, its records ``n`` and distinct filters ``d`` follow.
+    """
+    columns = rows.columns
+    turn = bitwords.bit_test("words", "s_bit")
+    moved = {path: f"if(s_bit is null, {path}, concat({path}, {turn}))"}
+    if "n" in columns:
+        moved["n"] = f"case when s_bit is null then n when {turn} = 1 then s_ones else s_n - s_ones end"
+        moved["d"] = f"case when s_bit is null then d when {turn} = 1 then s_ones_d else s_d - s_ones_d end"
+    projection = [f"{moved[c]} as {c}" if c in moved else c for c in columns]
     for level in levels:
-        splits = level.small_side(SPLIT_ROW_BYTES).select(
-            "config_id", F.col("node_path").alias(path), "bit", *[F.col(c).alias(f"s_{c}") for c in _FIGURES]
+        splits = level.small_side(SPLIT_ROW_BYTES).selectExpr(
+            "config_id", f"node_path as {path}", "bit as s_bit", *[f"{c} as s_{c}" for c in _FIGURES]
         )
-        joined = rows.join(splits, ["config_id", path], "left")
-        turn = bitwords.bit_at(F.col("words"), F.col("bit"))
-        right = turn == 1
-        stays = F.col("bit").isNull()
-        changes = {path: F.when(stays, F.col(path)).otherwise(F.concat(path, turn.cast("string")))}
-        if "n" in rows.columns:
-            ones, ones_d = F.col("s_ones"), F.col("s_ones_d")
-            changes["n"] = F.when(stays, F.col("n")).when(right, ones).otherwise(F.col("s_n") - ones)
-            changes["d"] = F.when(stays, F.col("d")).when(right, ones_d).otherwise(F.col("s_d") - ones_d)
-        rows = joined.withColumns(changes).select(*rows.columns)
+        rows = rows.join(splits, ["config_id", path], "left").selectExpr(*projection)
     return rows
 
 

@@ -104,22 +104,12 @@ def widest(configs: Iterable[LinkConfig]) -> int:
 
 def config_rows(configs: Iterable[LinkConfig]) -> Column:
     """The configurations as an array literal of structs, to be exploded onto data: no join needed."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(c.config_id).alias("config_id"),
-                F.lit(c.m).alias("m"),
-                F.lit(c.k).alias("k"),
-                F.lit(c.hash).alias("hash"),
-                F.lit(c.encoding).alias("encoding"),
-                F.lit(c.size).alias("size"),
-                F.lit(c.modulus).alias("modulus"),
-                F.lit(c.rlb_slots).alias("rlb_slots"),
-                F.lit(c.seed).alias("seed"),
-            )
-            for c in configs
-        ]
-    )
+    structs = [
+        f"named_struct('config_id', {c.config_id}, 'm', {c.m}, 'k', {c.k}, 'hash', '{c.hash}', "
+        f"'encoding', '{c.encoding}', 'size', {c.size}, 'modulus', {c.modulus}, 'rlb_slots', {c.rlb_slots})"
+        for c in configs
+    ]
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def grid(spark: SparkSession) -> DataFrame:
