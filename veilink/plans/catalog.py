@@ -183,7 +183,7 @@ def _hash_query(family: str, k: int) -> Query:
 
 
 def _filters(spark: SparkSession, sf: str, config: LinkConfig) -> DataFrame:
-    people = _stored_people(spark, sf)
+    people = stored_people(spark, sf)
     book = codebook([people], [ATTRS], [config])
     return encode(people, ATTRS, [config], book, ["id"])
 
@@ -204,14 +204,14 @@ def dense_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filters.select("id", F.array_join(bitwords.dense(F.col("words"), MAIN.size), "").alias("filter"))
 
 
-def _stored_people(spark: SparkSession, sf: str) -> DataFrame:
+def stored_people(spark: SparkSession, sf: str) -> DataFrame:
     """People written once for plans that read them several times, spread over the shuffle partitions."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return store(people_of(spark, sf).repartition(parts, "id"), "people").frame
 
 
 def _tree(spark: SparkSession, sf: str, **options):
-    a = side_a(_stored_people(spark, sf))
+    a = side_a(stored_people(spark, sf))
     encoded = store(encode(a, ATTRS, [MAIN], codebook([a], [ATTRS], [MAIN]), ["id"]), "encoded-a").frame
     distinct = distinct_filters(encoded)
     return build_tree(distinct, MAIN.size, **options), distinct
@@ -239,7 +239,7 @@ def tree_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _synthetic_links(spark: SparkSession, sf: str) -> linkage.Links:
-    people = _stored_people(spark, sf)
+    people = stored_people(spark, sf)
     return linkage.link_synthetic(side_a(people), side_b(people), [MAIN])
 
 
@@ -248,7 +248,7 @@ def link_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_exhaustive(spark: SparkSession, sf: str) -> DataFrame:
-    people = _stored_people(spark, sf)
+    people = stored_people(spark, sf)
     b = linkage.corrupted_b(side_b(people), [MAIN]).withColumn("truth", F.col("id"))
     found = linkage.link_exhaustive(side_a(people), b, ATTRS, [MAIN], ["id", "truth", "error_type"])
     return found.select("id", "error_type", "best_a", F.round("dice", 6).alias("dice"), "hit")
@@ -297,12 +297,12 @@ def report_by_error(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_gold(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = gold_sides(_stored_people(spark, sf))
+    a, b = gold_sides(stored_people(spark, sf))
     return _rounded(linkage.link_gold(a, b, GOLD_COLUMNS, [GOLD]).report_overall())
 
 
 def sweep_links(spark: SparkSession, sf: str) -> DataFrame:
-    people = _stored_people(spark, sf)
+    people = stored_people(spark, sf)
     found = linkage.link_synthetic(side_a(people), side_b(people), SWEEP)
     return found.matches.select("config_id", "id", "error_type", "best_a", F.round("dice", 6).alias("dice"), "hit")
 
