@@ -24,6 +24,84 @@ def bit_matrix(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
 
 
+SHORT_SEGMENT = 12
+FLUSH_BYTES = 64 * 1024 * 1024
+
+
+def segment_counts(bits: np.ndarray, copies: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per run of rows (beginning at ``starts``) and bit: records and rows that have the bit.
+
+    Most rows stand for one record, so rows are counted in 32 bits and only the surplus of repeated
+    filters is weighted.
+    """
+    ends = np.append(starts[1:], len(bits))
+    if len(bits) < SHORT_SEGMENT * len(starts):
+        rows = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    else:
+        rows = np.stack([bits[s:e].sum(axis=0, dtype=np.int32) for s, e in zip(starts.tolist(), ends.tolist())])
+    records = rows.astype(np.int64)
+    repeated = np.flatnonzero(copies > 1)
+    if repeated.size:
+        run = np.searchsorted(starts, repeated, side="right") - 1
+        runs, at = np.unique(run, return_index=True)
+        surplus = bits[repeated] * (copies[repeated] - 1)[:, None]
+        records[runs] += np.add.reduceat(surplus, at, axis=0)
+    return records, rows.astype(np.int64)
+
+
+def count_batches(batches, size: int):
+    """Partial counts of a partition: rows (config_id, path, n, d, bit, ones, ones_d) from record batches.
+
+    Counts are kept per node over the batches and handed out whenever they outgrow ``FLUSH_BYTES``; the
+    sums of the parts are the same however often that happens.
+    """
+    held: dict = {}
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        config = rows["config_id"].to_numpy()
+        encoded = rows["path"].combine_chunks().dictionary_encode()
+        paths = encoded.dictionary.to_pylist()
+        code = config.astype(np.int64) * len(paths) + encoded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        bits = bit_matrix(word_matrix(rows["words"]))[order, :size]
+        records, distinct = segment_counts(bits, rows["copies"].to_numpy()[order], starts)
+        first = order[starts]
+        n, d = rows["n"].to_numpy(), rows["d"].to_numpy()
+        for at, row in enumerate(first.tolist()):
+            key = (int(config[row]), paths[encoded.indices[row].as_py()], int(n[row]), int(d[row]))
+            if key in held:
+                held[key][0] += records[at]
+                held[key][1] += distinct[at]
+            else:
+                held[key] = [records[at], distinct[at]]
+        if len(held) * size * 16 > FLUSH_BYTES:
+            yield _count_rows(held)
+            held = {}
+    if held:
+        yield _count_rows(held)
+
+
+def _count_rows(held: dict) -> pa.RecordBatch:
+    records = np.stack([v[0] for v in held.values()])
+    distinct = np.stack([v[1] for v in held.values()])
+    node, bit = np.nonzero(distinct)
+    keys = list(held)
+    taken = pa.array(node)
+    columns = [
+        pa.array([k[0] for k in keys], pa.int32()).take(taken),
+        pa.array([k[1] for k in keys], pa.string()).take(taken),
+        pa.array([k[2] for k in keys], pa.int64()).take(taken),
+        pa.array([k[3] for k in keys], pa.int64()).take(taken),
+        pa.array(bit.astype(np.int32)),
+        pa.array(records[node, bit]),
+        pa.array(distinct[node, bit]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["config_id", "path", "n", "d", "bit", "ones", "ones_d"])
+
+
 @dataclass
 class Subtree:
     """Nodes in creation order; ``bit`` is -1 at a leaf, children are ``child`` (0) and ``child + 1`` (1)."""
@@ -62,7 +140,7 @@ def grow(bits: np.ndarray, copies: np.ndarray, group: int) -> Subtree:
         keep = np.repeat(live, distinct)
         rows, nodes, totals, distinct = rows[keep], nodes[live], totals[live], distinct[live]
         starts = np.concatenate(([0], np.cumsum(distinct)[:-1]))
-        ones = np.add.reduceat(bits[rows] * copies[rows, None], starts, axis=0)
+        ones, _ = segment_counts(bits[rows], copies[rows], starts)
         gap = np.abs(2 * ones - totals[:, None])
         gap[(ones == 0) | (ones == totals[:, None])] = np.iinfo(np.int64).max
         best = gap.argmin(axis=1)

@@ -7,7 +7,7 @@ holds more than ``group`` records and more than one distinct filter.  A leaf the
 
 The upper tree is built breadth-first by joins and aggregates: one job per level counts (node, bit) over
 the open nodes and writes the level's splits.  Rows are not rewritten per level; they find their node by
-joining the few split tables written so far.  Every ``regroup_every`` levels the rows are written once,
+joining the split tables written so far, several levels to a join.  Every ``regroup_every`` levels the rows are written once,
 range-partitioned by (node, filter hash), so that counts combine before the shuffle and a big node still
 spreads over many tasks.  A node of at most ``subtree_rows`` distinct filters is finished by one task.
 """
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bitwords
-from ..sources.store import Stored, store
+from ..sources.store import BROADCAST_BYTES, Stored, store
 from .distinct import DistinctFilters
-from .subtree import bit_matrix, grow, word_matrix
+from .subtree import bit_matrix, count_batches, grow, word_matrix
 
 SPLIT_ROW_BYTES = 160
+HOPS = 6
 
 
 @dataclass(frozen=True)
@@ -37,34 +38,80 @@ class Tree:
     group: int
 
 
-def descend(rows: DataFrame, levels: list[Stored], path: str = "path") -> DataFrame:
-    """Walk rows down the upper tree by joins with its levels.
+def hop_table(levels: list[Stored]) -> DataFrame:
+    """Consecutive levels as one row per node of the first: (config_id, path, hops).
 
-    The node is kept in ``path``; if present, its records ``n`` and distinct filters ``d`` follow.
+    ``hops`` holds the split bits of the node and its descendants in heap order, null where there is none.
     """
-    columns = rows.columns
-    turn = bitwords.bit_test("words", "s_bit")
-    moved = {path: f"if(s_bit is null, {path}, concat({path}, {turn}))"}
-    if "n" in columns:
-        moved["n"] = f"case when s_bit is null then n when {turn} = 1 then s_ones else s_n - s_ones end"
-        moved["d"] = f"case when s_bit is null then d when {turn} = 1 then s_ones_d else s_d - s_ones_d end"
-    projection = [f"{moved[c]} as {c}" if c in moved else c for c in columns]
+    # All nodes of a level lie at its depth.
+    base = levels[0].seen["depth"]
+    nodes = None
     for level in levels:
-        splits = level.small_side(SPLIT_ROW_BYTES).selectExpr(
-            "config_id", f"node_path as {path}", "bit as s_bit", *[f"{c} as s_{c}" for c in _FIGURES]
+        rows = level.frame.selectExpr(
+            "config_id",
+            f"substring(node_path, 1, {base}) as path",
+            f"cast(conv(concat('1', substring(node_path, {base + 1})), 2, 10) as int) - 1 as hop",
+            "bit",
         )
-        rows = rows.join(splits, ["config_id", path], "left").selectExpr(*projection)
+        nodes = rows if nodes is None else nodes.unionByName(rows)
+    by_hop = nodes.groupBy("config_id", "path").agg(F.expr("map_from_entries(collect_list(struct(hop, bit))) as m"))
+    every = 2 ** len(levels) - 2
+    return by_hop.selectExpr("config_id", "path", f"transform(sequence(0, {every}), k -> m[k]) as hops")
+
+
+def descend(rows: DataFrame, levels: list[Stored], path: str = "path") -> DataFrame:
+    """Walk rows down the upper tree; the node reached is kept in ``path``.
+
+    ``HOPS`` levels at a time cost one join; a heap position plus one, in binary, is '1' and the turns.
+    """
+    turn = bitwords.bit_test("words", "get(hops, i)")
+    step = f"(i, x) -> if(get(hops, i) is null, i, 2 * i + 1 + cast({turn} as int))"
+    columns = rows.columns
+    for start in range(0, len(levels), HOPS):
+        chunk = levels[start : start + HOPS]
+        table = hop_table(chunk).withColumnRenamed("path", path)
+        if chunk[0].rows * (64 + 4 * 2 ** len(chunk)) <= BROADCAST_BYTES:
+            table = F.broadcast(table)
+        walked = f"aggregate(sequence(1, {len(chunk)}), 0, {step})"
+        moved = f"if(hops is null, {path}, concat({path}, substring(bin({walked} + 1), 2))) as {path}"
+        rows = rows.join(table, ["config_id", path], "left").selectExpr(*[moved if c == path else c for c in columns])
     return rows
 
 
-_FIGURES = ("n", "d", "ones", "ones_d")
+def open_rows(rows: DataFrame, last: Stored | None, totals: DataFrame, depth: int, group: int, limit: int) -> DataFrame:
+    """Rows in the open nodes of a level, with the node's records ``n`` and distinct filters ``d``."""
+    if last is None:
+        known = rows.join(F.broadcast(totals), "config_id")
+        return known.where((F.col("n") > 0) & (F.col("d") > limit))
+    parents = last.small_side(SPLIT_ROW_BYTES).selectExpr(
+        "config_id", "node_path as parent", "n as p_n", "d as p_d", "ones", "ones_d"
+    )
+    here = rows.where(F.length("path") == depth).withColumn("parent", F.expr(f"substring(path, 1, {depth - 1})"))
+    right = "right(path, 1) = '1'"
+    known = here.join(parents, ["config_id", "parent"]).selectExpr(
+        *rows.columns, f"if({right}, ones, p_n - ones) as n", f"if({right}, ones_d, p_d - ones_d) as d"
+    )
+    return known.where((F.col("n") > group) & (F.col("d") > limit))
+
+
+COUNT_SCHEMA = "config_id int, path string, n bigint, d bigint, bit int, ones bigint, ones_d bigint"
 
 
 def bit_counts(open_rows: DataFrame, size: int) -> DataFrame:
-    """Records and distinct filters having each bit, per node."""
-    long = bitwords.set_bits(open_rows.select("config_id", "path", "n", "d", "copies", "words"), size)
-    return long.groupBy("config_id", "path", "n", "d", "bit").agg(
-        F.sum("copies").alias("ones"), F.count(F.lit(1)).alias("ones_d")
+    """Records and distinct filters having each bit, per node.
+
+    A row holds a hundred and more set bits, so exploding them costs two orders more rows than it has.
+    Each task instead adds up its rows' bits as arrays and hands one partial count per (node, bit) to an
+    ordinary sum.
+    """
+
+    def partial(batches):
+        return count_batches(batches, size)
+
+    rows = open_rows.select("config_id", "path", "n", "d", "copies", "words")
+    parts = rows.mapInArrow(partial, COUNT_SCHEMA)
+    return parts.groupBy("config_id", "path", "n", "d", "bit").agg(
+        F.sum("ones").alias("ones"), F.sum("ones_d").alias("ones_d")
     )
 
 
@@ -88,21 +135,20 @@ def build_tree(
     group: int = 5,
     subtree_rows: int = 4096,
     min_levels: int = 3,
-    regroup_every: int = 8,
+    regroup_every: int = HOPS,
     max_levels: int | None = None,
 ) -> Tree:
     """Build the upper tree; the first ``min_levels`` levels are always built by joins and aggregates.
 
+    The root is split even if it holds ``group`` records or fewer, so there is at least one such level.
     ``max_levels`` stops early and is meant for looking at the first splits.
     """
+    min_levels = max(1, min_levels)
     filters = distinct.filters.frame
-    totals = filters.groupBy("config_id").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d"))
     # One row per configuration.
-    roots = totals.collect()
-    per_config = filters.sparkSession.createDataFrame(roots, "config_id int, n bigint, d bigint")
-    rows = filters.join(F.broadcast(per_config), "config_id").withColumn("path", F.lit(""))
-    columns = ["config_id", "id_a", "words", "copies", "ord", "path", "n", "d"]
-    rows = rows.select(*columns)
+    roots = filters.groupBy("config_id").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d")).collect()
+    totals = filters.sparkSession.createDataFrame(roots, "config_id int, n bigint, d bigint")
+    rows = filters.withColumn("path", F.lit(""))
     levels: list[Stored] = []
     pending: list[Stored] = []
     depth = 0
@@ -112,21 +158,19 @@ def build_tree(
             placed = descend(rows, pending).repartitionByRange("config_id", "path", F.xxhash64("words"))
             rows, pending = store(placed, "placed").frame, []
         limit = 1 if depth < min_levels else subtree_rows
-        smallest = group if depth else 0
-        here = descend(rows, pending)
-        here = here.where((F.length("path") == depth) & _open(F.col("n"), F.col("d"), smallest, limit))
+        here = open_rows(descend(rows, pending), levels[-1] if levels else None, totals, depth, group, limit)
         splits = choose_splits(bit_counts(here, size))
         below = 1 if depth + 1 < min_levels else subtree_rows
         left, left_d = F.col("n") - F.col("ones"), F.col("d") - F.col("ones_d")
         still_open = F.count_if(_open(F.col("ones"), F.col("ones_d"), group, below)) + F.count_if(
             _open(left, left_d, group, below)
         )
-        level = store(splits, f"splits-{depth}", open_children=still_open)
+        level = store(splits, f"splits-{depth}", open_children=still_open, depth=F.max(F.length("node_path")))
         levels.append(level)
         pending.append(level)
         open_nodes = level.seen["open_children"]
         depth += 1
-    placed = descend(rows, pending).withColumnRenamed("path", "root").drop("n", "d")
+    placed = descend(rows, pending).withColumnRenamed("path", "root")
     return Tree(levels, placed, group)
 
 
