@@ -11,12 +11,12 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal"
     """Number the rows 0, 1, ... in the given order.
 
     Rows are range-partitioned by the order and written once; the ordinal is the rank inside the range
-    plus the sizes of the ranges before it.  A row tag breaks ties, so a value shared by many rows is
-    spread over several ranges.
+    plus the sizes of the ranges before it.  A hash of the row breaks ties, so a value shared by many rows
+    is spread over several ranges, and a task that runs again sends every row where it went before.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
+    tagged = df.withColumn("_tie", F.xxhash64(*df.columns))
     ranged = tagged.repartitionByRange(parts, *keys, "_tie").withColumn("_part", F.spark_partition_id())
     rows = store(ranged, "ranges").frame
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
