@@ -61,7 +61,7 @@ def main() -> None:
     encoded = timed("encode", both_sides)
     tree = timed("tree_build", encoded.index)
     matches = timed("route_match", lambda: store(evaluate.with_hit(search_tree(tree, encoded.b, keep)), "matches").frame)
-    links = linkage.Links(matches, encoded, [config])
+    links = linkage.Links(matches, encoded, [config], {config.config_id: config.config_id})
     timed("report", lambda: links.report_by_error().collect())
     timed("exhaustive", lambda: drain(search_all(encoded.distinct, encoded.b, keep)))
     queries = catalog.all_queries()

@@ -60,3 +60,21 @@ def test_undamaged_records_are_found(spark, encoding):
     assert partnered.where((F.col("hit") == 0) | (F.col("dice") != 1.0)).count() == 0
     report = links.report_by_error(denominator="true_matches").collect()
     assert [r.Tipo_erro for r in report] == ["Sem erro"] and report[0].pair_completeness == 1.0
+
+
+def test_configurations_share_an_index(spark):
+    people = people_of(spark, SMALL)
+    mild, hard, other = (
+        LinkConfig(1, hash="DoubleHash", weights=ErrorWeights.evenly(0.02)),
+        LinkConfig(2, hash="DoubleHash", weights=ErrorWeights.evenly(0.1)),
+        LinkConfig(3, hash="DoubleHash", encoding="ABF", weights=ErrorWeights.evenly(0.1)),
+    )
+    assert linkage.shared_index([mild, hard, other]) == {1: 1, 2: 1, 3: 3}
+    together = linkage.link_synthetic(side_a(people), side_b(people), [mild, hard, other])
+    columns = ["id", "error_type", "best_a", "dice", "hit"]
+    for config in (mild, hard, other):
+        alone = linkage.link_synthetic(side_a(people), side_b(people), [config])
+        mine = together.matches.where(F.col("config_id") == config.config_id).select(*columns).collect()
+        assert sorted(mine) == sorted(alone.matches.select(*columns).collect())
+    report = together.report_by_error().groupBy("config_id").agg(F.max("tam_baseB").alias("b")).collect()
+    assert {r.config_id: r.b for r in report} == {1: 150, 2: 150, 3: 150}

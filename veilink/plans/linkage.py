@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import evaluate
 from ..operators.corrupt import Roles, inject_errors
 from ..operators.distinct import DistinctFilters, distinct_filters
-from ..operators.encode import codebook, encode
+from ..operators.encode import codebook, encode, with_configs
 from ..operators.match import search_all, search_tree
 from ..operators.tree import Tree, build_tree
 from ..sources.store import Stored, store
@@ -61,26 +61,50 @@ def encode_sides(
     return Encoded(stored_a, distinct_filters(stored_a.frame), encoded_b, widest(configs))
 
 
+def shared_index(configs: Sequence[LinkConfig]) -> dict[int, int]:
+    """Configuration -> the first one with the same encoding; they differ in their errors only.
+
+    A is encoded and indexed once per encoding, whatever the number of error settings.
+    """
+    first: dict = {}
+    return {c.config_id: first.setdefault(replace(c, config_id=0, weights=None), c.config_id) for c in configs}
+
+
 def sizes_of(encoded: DataFrame, name: str) -> DataFrame:
     return encoded.groupBy("config_id").agg(F.count(F.lit(1)).alias(name))
 
 
 @dataclass(frozen=True)
 class Links:
-    """Search result with everything the reports need; ``matches`` is written, so reports do not search again."""
+    """Search result with everything the reports need; ``matches`` is written, so reports do not search again.
+
+    ``index_of`` names the configuration under which A was indexed, for each of ``configs``.
+    """
 
     matches: DataFrame
     encoded: Encoded
     configs: Sequence[LinkConfig]
+    index_of: dict[int, int]
+
+    def _per_run(self, indexed: DataFrame) -> DataFrame:
+        """Rows keyed by index configuration, repeated for the configurations that share it."""
+        runs: dict = {}
+        for run, index in self.index_of.items():
+            runs.setdefault(index, []).append(run)
+        if all(group == [index] for index, group in runs.items()):
+            return indexed
+        table = ", ".join(f"{index}, array({', '.join(map(str, group))})" for index, group in runs.items())
+        return indexed.withColumn("config_id", F.expr(f"explode(element_at(map({table}), config_id))"))
 
     def summary(self) -> DataFrame:
         return evaluate.curve_summary(evaluate.roc_points(self.matches))
 
     def verdicts(self, summary: DataFrame | None = None) -> DataFrame:
-        return evaluate.pair_verdicts(self.matches, self.summary() if summary is None else summary, self.encoded.distinct.aliases())
+        aliases = self._per_run(self.encoded.distinct.aliases())
+        return evaluate.pair_verdicts(self.matches, self.summary() if summary is None else summary, aliases)
 
     def size_a(self) -> DataFrame:
-        return sizes_of(self.encoded.a.frame, "size_a")
+        return self._per_run(sizes_of(self.encoded.a.frame, "size_a"))
 
     def report_by_error(self, denominator: str = "rows") -> DataFrame:
         summary = store(self.summary(), "summary").frame
@@ -93,9 +117,19 @@ class Links:
         return evaluate.report_overall(self.verdicts(summary), summary, self.size_a(), self.configs)
 
 
-def _links(encoded: Encoded, configs: Sequence[LinkConfig], keep: list[str], options: dict) -> Links:
-    found = search_tree(encoded.index(**options), encoded.b, keep)
-    return Links(store(evaluate.with_hit(found), "matches").frame, encoded, configs)
+def _links(
+    a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str], options: dict
+) -> Links:
+    """``b`` carries ``config_id`` where it differs by configuration; it is searched under the shared index."""
+    index_of = shared_index(configs)
+    indexed = [c for c in configs if index_of[c.config_id] == c.config_id]
+    runs = with_configs(b, configs)
+    table = ", ".join(f"{run}, {index}" for run, index in index_of.items())
+    runs = runs.withColumn("run_id", F.col("config_id")).withColumn("config_id", F.expr(f"map({table})[config_id]"))
+    encoded = encode_sides(a, runs, columns, columns, indexed, ["run_id"] + keep)
+    found = search_tree(encoded.index(**options), encoded.b, ["run_id"] + keep)
+    matches = found.drop("config_id").withColumnRenamed("run_id", "config_id")
+    return Links(store(evaluate.with_hit(matches), "matches").frame, encoded, configs, index_of)
 
 
 def link_synthetic(
@@ -104,8 +138,7 @@ def link_synthetic(
     """A against a damaged copy of B; a record's true partner has the same id."""
     b = corrupted_b(b_clean, configs, roles).withColumn("truth", F.col(roles.key))
     keep = [roles.key, "truth", "error_type"] + (["has_partner"] if "has_partner" in b_clean.columns else [])
-    encoded = encode_sides(a, b, roles.attributes, roles.attributes, configs, keep)
-    return _links(encoded, configs, keep, tree_options)
+    return _links(a, b, roles.attributes, configs, keep, tree_options)
 
 
 def link_gold(
@@ -113,9 +146,7 @@ def link_gold(
 ) -> Links:
     """A against B with a gold column naming the true partner; nothing is damaged."""
     b = b.withColumn("truth", F.col(check))
-    keep = ["id", "truth"]
-    encoded = encode_sides(a, b, columns, columns, configs, keep)
-    return _links(encoded, configs, keep, tree_options)
+    return _links(a, b, columns, configs, ["id", "truth"], tree_options)
 
 
 def link_exhaustive(a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str]) -> DataFrame:
