@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -49,7 +50,9 @@ def test_substring_lengths(spark, window, start):
     rows = awkward(2)
     got = substring.remove_repeats(frame(spark, rows), window=window, start=start, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring(rows, window)
-    assert all(len(r.kept.encode().split()) == r.n_words - r.n_removed for r in got)
+    assert all(hashlib.sha256(b" ".join(r.kept.encode().split())).hexdigest() == r.kept_sha256 for r in got)
+    texts = dict(rows)
+    assert all(r.kept == (texts[r.doc_id] or "") for r in got if not r.n_removed)
 
 
 def test_registered_repeats(spark, tables):

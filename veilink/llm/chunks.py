@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilink.llm import words
 from veilink.sources.store import Stored, store
@@ -28,7 +28,7 @@ CHUNK_BYTES = 3 << 20
 RANGE_KEYS = 2_000_000
 NO_ID = 2**63 - 1
 
-CHUNK_SCHEMA = "chunk long, ids array<long>, sizes array<int>, data binary, alive binary"
+CHUNK_SCHEMA = "chunk long, ids array<long>, sizes array<int>, data binary, alive binary, rest array<string>"
 KEY_SCHEMA = "chunk long, range int, n int, keys binary, owner binary"
 ANSWER_SCHEMA = "chunk long, range int, answer binary"
 
@@ -61,6 +61,7 @@ class Chunk:
     offsets: np.ndarray
     data: np.ndarray
     alive: np.ndarray | None
+    rest: list | None = None
 
     @classmethod
     def read(cls, row: dict) -> "Chunk":
@@ -68,7 +69,7 @@ class Chunk:
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         alive = row.get("alive")
         mask = None if alive is None else np.unpackbits(loosen(alive)).astype(bool)
-        return cls(row["chunk"], np.asarray(row["ids"], np.int64), offsets, loosen(row["data"]), mask)
+        return cls(row["chunk"], np.asarray(row["ids"], np.int64), offsets, loosen(row["data"]), mask, row.get("rest"))
 
     def row(self) -> dict:
         return {
@@ -77,6 +78,7 @@ class Chunk:
             "sizes": np.diff(self.offsets).tolist(),
             "data": squeeze(self.data),
             "alive": None if self.alive is None else squeeze(np.packbits(self.alive)),
+            "rest": self.rest,
         }
 
     def text(self, i: int) -> bytes:
@@ -88,7 +90,8 @@ def keep_documents(chunk: Chunk, keep: np.ndarray, place_bounds: np.ndarray, ali
     sizes = np.diff(chunk.offsets)
     data = chunk.data[np.repeat(keep, sizes)]
     mask = alive[np.repeat(keep, np.diff(place_bounds))]
-    return Chunk(chunk.number, chunk.ids[keep], np.concatenate(([0], np.cumsum(sizes[keep]))), data, mask)
+    rest = chunk.rest and [chunk.rest[i] for i in np.flatnonzero(keep)]
+    return Chunk(chunk.number, chunk.ids[keep], np.concatenate(([0], np.cumsum(sizes[keep]))), data, mask, rest)
 
 
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -100,7 +103,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(),
         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_(),
-        "array<float>": pa.list_(pa.float32()),
+        "array<float>": pa.list_(pa.float32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
@@ -109,8 +112,11 @@ def names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
 
-def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str) -> Stored:
-    """Texts in a table of chunks, with the figure ``bytes``.  A null text is empty, a null id sorts last."""
+def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str, rest: Column | None = None) -> Stored:
+    """Texts in a table of chunks, with the figure ``bytes``.  A null text is empty, a null id sorts last.
+
+    ``rest`` is a text that travels with each document.
+    """
     out_schema = arrow_schema(CHUNK_SCHEMA)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +124,18 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str) -> Sto
         ids: list[np.ndarray] = []
         runs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
+        more: list[str] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, runs, sizes, held, count
+            nonlocal ids, runs, sizes, more, held, count
             id_of, size_of, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(runs)
             starts = np.concatenate(([0], np.cumsum(size_of)))[:-1]
             order = np.argsort(id_of, kind="stable")
             data = np.concatenate([data[starts[i] : starts[i] + size_of[i]] for i in order]) if len(data) else data
-            chunk = Chunk(part << 32 | count, id_of[order], np.concatenate(([0], np.cumsum(size_of[order]))), data, None)
-            ids, runs, sizes, held, count = [], [], [], 0, count + 1
+            bounds = np.concatenate(([0], np.cumsum(size_of[order])))
+            chunk = Chunk(part << 32 | count, id_of[order], bounds, data, None, [more[i] for i in order] if more else None)
+            ids, runs, sizes, more, held, count = [], [], [], [], 0, count + 1
             return batch_of([chunk.row()], out_schema)
 
         for batch in batches:
@@ -139,6 +147,8 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str) -> Sto
                 ids.append(id_of[begin:end])
                 sizes.append(np.diff(offsets[begin : end + 1]))
                 runs.append(data[offsets[begin] : offsets[end]].copy())
+                if rest is not None:
+                    more += batch.column(2).slice(begin, end - begin).to_pylist()
                 held += int(offsets[end] - offsets[begin])
                 begin = end
                 if held >= CHUNK_BYTES * 9 // 10:
@@ -146,7 +156,7 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str) -> Sto
         if ids:
             yield flush()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([] if rest is None else [rest.alias("rest")]))
     bytes_of = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
     return store(slim.mapInArrow(pack, CHUNK_SCHEMA), label, bytes=F.coalesce(bytes_of, F.lit(0).cast("long")))
 
@@ -179,11 +189,12 @@ def key_rows(number: int, keys: np.ndarray, bits: int, width: int, owners: np.nd
     return rows
 
 
-def ask(chunks: DataFrame, keys_of: Callable[[Chunk], tuple], bits: int, width: int, answer: Callable) -> DataFrame:
-    """One round: ``keys_of(chunk)`` gives (sorted distinct keys, owner ids or None) and ``answer`` one byte per key.
+def ask(chunks: DataFrame, keys_of: Callable[[Chunk], tuple], bits: int, width: int, answer: Callable, kind: str = "uint8", also: Callable | None = None) -> DataFrame:
+    """One round: ``keys_of(chunk)`` gives (sorted distinct keys, a long each or None) and ``answer`` one value per key.
 
-    ``answer(group, count, chunk_of, owner_of)`` sees one range: ``group`` numbers the distinct keys,
-    ``count`` their entries, the other two the asking chunk and the owner id of each entry.
+    ``answer(group, count, chunk_of, owner_of)`` sees one range: ``group`` numbers the distinct keys, ``count`` their
+    entries, the other two the asking chunk and the long sent with each entry.  ``also(range, distinct keys, group,
+    owner_of)`` may add bytes about the range as a whole, in a row of chunk -1.
     """
     key_schema, answer_schema = arrow_schema(KEY_SCHEMA), arrow_schema(ANSWER_SCHEMA)
 
@@ -204,23 +215,25 @@ def ask(chunks: DataFrame, keys_of: Callable[[Chunk], tuple], bits: int, width:
         dtype = "uint32" if width == 4 else "uint64"
         keys = np.concatenate([np.cumsum(unplanes(r["keys"], r["n"], dtype), dtype=dtype) for r in rows])
         sizes = np.array([r["n"] for r in rows])
-        _, group, count = np.unique(keys, return_inverse=True, return_counts=True)
+        found, group, count = np.unique(keys, return_inverse=True, return_counts=True)
         chunk_of = np.repeat(np.array([r["chunk"] for r in rows], np.int64), sizes)
         owner_of = None
         if rows[0]["owner"] is not None:
             owner_of = np.concatenate([unplanes(r["owner"], r["n"], "int64") for r in rows])
-        said = answer(group, count, chunk_of, owner_of).astype(np.uint8)
+        said = answer(group, count, chunk_of, owner_of).astype(kind)
         cut = np.split(said, np.cumsum(sizes)[:-1])
-        return pa.Table.from_pylist(
-            [{"chunk": r["chunk"], "range": r["range"], "answer": squeeze(a)} for r, a in zip(rows, cut, strict=True)],
-            schema=answer_schema,
-        )
+        out = [{"chunk": r["chunk"], "range": r["range"], "answer": planes(a)} for r, a in zip(rows, cut, strict=True)]
+        if also:
+            out.append({"chunk": -1, "range": rows[0]["range"], "answer": also(rows[0]["range"], found, group, owner_of)})
+        return pa.Table.from_pylist(out, schema=answer_schema)
 
     spread_out = chunks.mapInArrow(spread, KEY_SCHEMA)
     return spread_out.groupBy("range").applyInArrow(settle, ANSWER_SCHEMA)
 
 
-def told(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.ndarray], list[dict]], schema: str) -> DataFrame:
+def told(
+    chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.ndarray], list[dict]], schema: str, kind: str = "uint8"
+) -> DataFrame:
     """Brings the answers of a round back to their chunks: ``use(chunk, answers in key order)`` makes the rows."""
     out_schema = arrow_schema(schema)
 
@@ -228,7 +241,9 @@ def told(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.ndarray
         if not left.num_rows:
             return pa.Table.from_pylist([], schema=out_schema)
         rows = sorted(right.to_pylist(), key=lambda r: r["range"])
-        said = np.concatenate([loosen(r["answer"]) for r in rows]) if rows else np.zeros(0, np.uint8)
+        wide = np.dtype(kind).itemsize
+        parts = [loosen(r["answer"]) for r in rows]
+        said = np.concatenate([np.ascontiguousarray(p.reshape(wide, -1).T).ravel().view(kind) for p in parts] or [np.zeros(0, kind)])
         return pa.Table.from_pylist(use(Chunk.read(left.to_pylist()[0]), said), schema=out_schema)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema)

@@ -18,13 +18,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilink.llm import chunks, words
 from veilink.llm.chunks import Chunk
 from veilink.sources.store import store
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, carried string"
 
 
 def _lengths(window: int, start: int) -> list[int]:
@@ -66,20 +66,37 @@ def _rows(chunk: Chunk, which: np.ndarray, gone: np.ndarray, first, last, bounds
         rows.append({
             "doc_id": None if chunk.ids[i] == chunks.NO_ID else int(chunk.ids[i]),
             "n_words": int(hi - lo), "n_removed": n_gone, "kept_sha256": hashlib.sha256(kept).hexdigest(),
-            "kept": kept.decode("utf-8", "replace") if with_text else None,
+            "kept": _without(chunk, i, gone, first, bounds) if with_text else None,
+            "carried": chunk.rest[i] if chunk.rest else None,
         })
     return rows
 
 
+def _without(chunk: Chunk, i: int, gone: np.ndarray, first, bounds) -> str:
+    """The text without the removed words and the white space after each."""
+    lo, hi = bounds[i], bounds[i + 1]
+    if not gone[lo:hi].any():
+        return chunk.text(i).decode()
+    ends = np.append(first[lo + 1 : hi], chunk.offsets[i + 1])
+    drop = np.zeros(chunk.offsets[i + 1] - chunk.offsets[i] + 1, np.int32)
+    np.add.at(drop, first[lo:hi][gone[lo:hi]] - chunk.offsets[i], 1)
+    np.subtract.at(drop, ends[gone[lo:hi]] - chunk.offsets[i], 1)
+    return chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]][np.cumsum(drop[:-1]) == 0].tobytes().decode()
+
+
 STATE = RESULT + ", " + chunks.CHUNK_SCHEMA
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, start: int = 5,
-    with_text: bool = False,
+    with_text: bool = False, carry: Column | None = None,
 ) -> DataFrame:
-    """One row per document: words, removed words, digest of the words kept (and they themselves on demand)."""
-    base = chunks.write_chunks(docs, id_col, text_col, "passages")
+    """One row per document: words, removed words, digest of the words kept.
+
+    ``with_text`` adds ``kept``, the text without the removed words and the white space after them; ``carry`` a text of
+    the caller's that comes back as ``carried``.
+    """
+    base = chunks.write_chunks(docs, id_col, text_col, "passages", carry)
     table, bits = base.frame, chunks.range_bits(base.seen["bytes"] / 6)
     finished: list[DataFrame] = []
     lengths = _lengths(window, start)
@@ -136,4 +153,4 @@ def remove_repeats(
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    return out if with_text else out.drop("kept")
+    return out.drop(*([] if with_text else ["kept"]), *([] if carry is not None else ["carried"]))
