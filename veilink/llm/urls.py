@@ -110,8 +110,8 @@ WITH RECURSIVE parts AS (
   FROM pages),
 tags AS (
   SELECT url, host, path,
-    list_filter(regexp_extract_all(html, '(?i)<link\s[^>]*>'), t -> regexp_matches(t, '(?i)\srel\s*=\s*.?canonical'))[1] AS can,
-    list_filter(regexp_extract_all(html, '(?i)<meta\s[^>]*>'), t -> regexp_matches(t, '(?i)http-equiv\s*=\s*.?refresh'))[1] AS ref
+    list_filter(regexp_extract_all(html, '(?i)<link\s[^>]*>'), lambda t: regexp_matches(t, '(?i)\srel\s*=\s*.?canonical'))[1] AS can,
+    list_filter(regexp_extract_all(html, '(?i)<meta\s[^>]*>'), lambda t: regexp_matches(t, '(?i)http-equiv\s*=\s*.?refresh'))[1] AS ref
   FROM parts WHERE url LIKE '%://%'),
 links AS (
   SELECT url, host, path, regexp_extract(can, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM tags
@@ -122,17 +122,17 @@ full_links AS (
     ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || link END AS target
   FROM links WHERE link <> ''),
 ends AS (SELECT url AS x, target AS y FROM full_links),
-at AS (
+spots AS (
   SELECT u, 'x://' || translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || coalesce(nullif(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(u, '://[^?#]*(\?[^#]*)', 1) AS a
   FROM (SELECT url AS u FROM parts WHERE url LIKE '%://%' UNION SELECT y FROM ends)),
-edges AS (SELECT f.a AS a, t.a AS b FROM ends JOIN at f ON f.u = x JOIN at t ON t.u = y WHERE f.a <> t.a),
+edges AS (SELECT f.a AS a, t.a AS b FROM ends JOIN spots f ON f.u = x JOIN spots t ON t.u = y WHERE f.a <> t.a),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 places AS (
-  SELECT DISTINCT a, regexp_extract(a, '://([^/?#]*)', 1) AS h, regexp_extract(a, '://[^/?#]*([^?#]*)', 1) AS p FROM at),
+  SELECT DISTINCT a, regexp_extract(a, '://([^/?#]*)', 1) AS h, regexp_extract(a, '://[^/?#]*([^?#]*)', 1) AS p FROM spots),
 said AS (
   SELECT a, arg_max(verdict, length(rule)) AS v FROM places JOIN rules ON (h = rhost OR ends_with(h, '.' || rhost)) AND starts_with(p, rpath)
   GROUP BY a),
@@ -143,5 +143,5 @@ own AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS v
   FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, o.rule, coalesce(o.v, c.cv, 'allow') AS verdict
-FROM parts p LEFT JOIN own o USING (page_id) LEFT JOIN at ON at.u = p.url LEFT JOIN class c ON c.a = at.a
+FROM parts p LEFT JOIN own o USING (page_id) LEFT JOIN spots ON spots.u = p.url LEFT JOIN class c ON c.a = spots.a
 """
