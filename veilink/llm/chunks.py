@@ -81,10 +81,25 @@ class Chunk:
             "rest": self.rest,
         }
 
+    def runs(self, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Bytes, offsets and first place of successive documents: pieces that stay in the processor's cache."""
+        for lo, hi in document_runs(self.offsets, most):
+            at = self.offsets[lo]
+            yield self.data[at : self.offsets[hi]], self.offsets[lo : hi + 1] - at, int(at)
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def document_runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Successive ranges of documents of at most ``most`` bytes together, or of one longer document."""
+    begin, n = 0, len(offsets) - 1
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
+        yield begin, min(end, n)
+        begin = end
+
+
 def keep_documents(chunk: Chunk, keep: np.ndarray, place_bounds: np.ndarray, alive: np.ndarray) -> Chunk:
     """The chunk with the kept documents only; ``place_bounds`` says where each one's places begin in ``alive``."""
     sizes = np.diff(chunk.offsets)
@@ -117,7 +132,7 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str, rest:
 
     ``rest`` is a text that travels with each document.
     """
-    out_schema = arrow_schema(CHUNK_SCHEMA)
+    out_schema, carries = arrow_schema(CHUNK_SCHEMA), rest is not None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -147,7 +162,7 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, label: str, rest:
                 ids.append(id_of[begin:end])
                 sizes.append(np.diff(offsets[begin : end + 1]))
                 runs.append(data[offsets[begin] : offsets[end]].copy())
-                if rest is not None:
+                if carries:
                     more += batch.column(2).slice(begin, end - begin).to_pylist()
                 held += int(offsets[end] - offsets[begin])
                 begin = end

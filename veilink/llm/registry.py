@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilink.llm import bilinear, jaccard, kneser, mixing, packing, rules, substring, suffix, urls
+from veilink.llm import bilinear, jaccard, kneser, mixing, packing, rules, substring, suffix, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,14 +51,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=400, seed_length=128)
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "documents"), k=10, every=20, group=F.col("lang"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_ngram_jaccard, op3_quality_rules, op4_url_filters, op5_lm_scoring, op6_substring_dedup,
-        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup,
+        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup, op10_exact_topk,
     )
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
     """The other operators (packing, similarity classes, models, repeats) have no SQL form; tests hold them to plain models."""
-    return {"op3_quality_rules": rules.SQL, "op4_url_filters": urls.SQL, "op7_source_mixing": mixing.SQL}
+    return {"op3_quality_rules": rules.SQL, "op4_url_filters": urls.SQL, "op7_source_mixing": mixing.SQL, "op10_exact_topk": topk.SQL}
