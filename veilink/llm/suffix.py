@@ -60,14 +60,31 @@ def _room(offsets: np.ndarray) -> np.ndarray:
 
 def _minima(chunk: Chunk, length: int, seed: int):
     """Starts with room for the whole string, the least seed rank in each one's string, and the picked ranks."""
-    names = ranks(chunk.data, seed)
-    starts = _room(chunk.offsets) >= length
     width = length - seed + 1
-    least = _slide(names, width, np.minimum, 2**64 - 1)
-    # a position is picked if it is the least of some string that contains it
-    asked = np.where(starts, least, 0)
-    back = _slide(asked[::-1], width, np.maximum, 0)[::-1]
-    return starts, least, names[(back == names) & (back > 0)]
+    found: tuple[list, list, list] = ([np.zeros(0, bool)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    for data, offsets, _ in chunk.runs():
+        names = ranks(data, seed)
+        starts = _room(offsets) >= length
+        least = _slide(names, width, np.minimum, 2**64 - 1)
+        # a position is picked if it is the least of some string that contains it
+        asked = np.where(starts, least, 0)
+        back = _slide(asked[::-1], width, np.maximum, 0)[::-1]
+        for to, part in zip(found, (starts, least, names[(back == names) & (back > 0)]), strict=True):
+            to.append(part)
+    return tuple(map(np.concatenate, found))
+
+
+def _pair_ranks(names: np.ndarray, places: np.ndarray, seed: int, length: int) -> np.ndarray:
+    """Ranks at ``length`` of some places, from the ranks at ``seed`` of all: pairs at growing offsets."""
+
+    def at(p: np.ndarray, span: int) -> np.ndarray:
+        return names[p] if span == seed else words.pair(at(p, span // 2), at(p + span // 2, span // 2))
+
+    reach = seed
+    while 2 * reach <= length:
+        reach *= 2
+    full = at(places, reach)
+    return full if reach == length else words.pair(full, at(places + length - reach, reach))
 
 
 def remove_repeats(
@@ -79,7 +96,7 @@ def remove_repeats(
     base = chunks.write_chunks(docs, id_col, text_col, "bytes")
 
     def seed_keys(chunk: Chunk):
-        return np.unique(_minima(chunk, length, seed_length)[2]), None
+        return words.distinct(_minima(chunk, length, seed_length)[2]), None
 
     def narrow(chunk: Chunk, said: np.ndarray) -> list[dict]:
         starts, least, picked = _minima(chunk, length, seed_length)
@@ -87,7 +104,10 @@ def remove_repeats(
         twice = (said > 0) | (count > 1)
         alive = np.zeros(len(chunk.data), bool)
         places = np.flatnonzero(starts)
-        alive[places] = twice[np.searchsorted(found, least[places])] if len(found) else False
+        if len(places):  # one look-up for each stretch with the same minimum
+            values = least[places]
+            turn = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            alive[places] = np.repeat(twice[np.searchsorted(found, values[turn])], np.diff(np.append(turn, len(values))))
         seen = np.concatenate(([0], np.cumsum(alive)))
         live = seen[chunk.offsets[1:]] > seen[chunk.offsets[:-1]]
         rows = _rows(chunk, ~live, np.zeros(len(chunk.data), bool))
@@ -96,18 +116,16 @@ def remove_repeats(
         return rows
 
     def last_names(chunk: Chunk):
-        names = ranks(chunk.data, seed_length)
-        places = np.flatnonzero(chunk.alive[: len(chunk.data)])
-        reach = seed_length
-        # the pair of ranks at growing offsets, at the places that are left alone
-        at = lambda p, span: names[p] if span == seed_length else words.pair(at(p, span // 2), at(p + span // 2, span // 2))
-        while 2 * reach <= length:
-            reach *= 2
-        full = at(places, reach)
-        return places, full if reach == length else words.pair(full, at(places + length - reach, reach))
+        places, named = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for data, _, begin in chunk.runs():
+            here = np.flatnonzero(chunk.alive[begin : begin + len(data)])
+            if len(here):
+                places.append(here + begin)
+                named.append(_pair_ranks(ranks(data, seed_length), here, seed_length, length))
+        return np.concatenate(places), np.concatenate(named)
 
     def last_keys(chunk: Chunk):
-        return np.unique(last_names(chunk)[1]), None
+        return words.distinct(last_names(chunk)[1]), None
 
     def close(chunk: Chunk, said: np.ndarray) -> list[dict]:
         places, names = last_names(chunk)
