@@ -13,15 +13,17 @@ and equal rows are dealt to different groups so that no group fills up with copi
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import string
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from veilink.llm import chunks
@@ -29,9 +31,25 @@ from veilink.llm import chunks
 LENGTH = 2048
 END = 1
 GROUP_DOCUMENTS = 8192
-CACHED_WORDS = 150_000
+CACHED_WORDS = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
+# Fixed value: how the vocabulary splits lower-cased text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = regex.compile(SPLIT)
+MARKS = string.punctuation
+PLAIN = regex.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017E]*")
+
+
+def _shown() -> list[str]:
+    """The character that byte-level vocabularies show for each byte: itself where printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+SHOWN = _shown()
+
 CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,31 +60,66 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Token ids of whole texts, word by word with a bounded memory of words.
+class Pieces(dict):
+    """Ids of the pieces that the vocabulary's splitting makes of a word, each worked out once."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(SHOWN[x] for x in piece.encode())
+        found = [t.id for t in self.model.tokenize(shown)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        self[piece] = ids
+        return ids
+
+
+class Encoder(dict):
+    """Token ids of words as little-endian bytes; a text's ids are those of its words in a row.
 
-    The vocabulary's own rules never join two words that white space parts, so a text's ids are its words' ids in a row.
+    The vocabulary's own rules never join what white space parts.  Words of plain characters (printable ASCII, Latin
+    letters in one code point each) are lower-cased and split here and looked up piece by piece; any other word, and any
+    vocabulary with other rules, goes to the library as it is.  Both memories are bounded.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[bytes]) -> list[array]:
-        split = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, tuple(c.ids)) for w, c in zip(part, coded, strict=True))
-        ids_of = self.known.__getitem__
-        return [array("I", chain.from_iterable(map(ids_of, words))) for words in split]
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        split = rules.get("pre_tokenizer") or {}
+        # the splitting that the fast way repeats; special tokens in a text are the library's work
+        self.known = (
+            [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [p.get("type") for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and split["pretokenizers"][0]["pattern"].get("Regex") == SPLIT
+        )
+        self.special = {t["content"].encode() for t in rules.get("added_tokens", [])}
+        self.pieces = Pieces(self.tokenizer.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        core = text.rstrip(MARKS)
+        plain = self.known and (text.isascii() or PLAIN.fullmatch(text))
+        if plain and core.isalpha():  # letters, then marks: two pieces at most
+            ids = self.pieces[core.lower()] + (self.pieces[text[len(core) :]] if len(core) < len(text) else b"")
+        elif plain and PLAIN.fullmatch(text) and not any(t in word for t in self.special):
+            ids = b"".join(map(self.pieces.__getitem__, PARTS.findall(text.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Room:
@@ -107,7 +160,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it comes from and where it lies."""
     path = tokenizer or tokenizer_path()
-    groups = max(1, math.ceil(docs.count() / group_documents))
+    groups, last = max(1, math.ceil(docs.count() / group_documents)), np.array([end], "<u4").tobytes()
     cut_schema, packed_schema = chunks.arrow_schema(CUT), chunks.arrow_schema(PACKED)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +169,15 @@ def pack(
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for at in range(0, len(ids), 256):
                 rows = []
-                coded = encoder.encode([t or b"" for t in texts.slice(at, 256).to_pylist()])
-                for doc, tokens in zip(ids[at : at + 256], coded, strict=True):
-                    tokens.append(end)
-                    data, n = memoryview(tokens.tobytes()), len(tokens)
-                    whole = zlib.crc32(data)
+                for doc, text in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
+                    tokens = encoder.encode(text or b"") + last
+                    n, whole = len(tokens) // 4, zlib.crc32(tokens)
                     copy = copies.get((doc, whole), 0)
                     copies[doc, whole] = copy + 1
                     part = zlib.crc32(f"{doc} {whole} {copy}".encode()) % groups
                     for start in range(0, n, length):
-                        size = min(length, n - start)
-                        rows.append((doc, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n, part))
+                        data = tokens[4 * start : 4 * (start + length)]
+                        rows.append((doc, start, len(data) // 4, zlib.crc32(data), n, part))
                 if len(copies) > 1_000_000:
                     copies = {}
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), cut_schema.types)], schema=cut_schema)
