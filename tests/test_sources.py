@@ -29,7 +29,7 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "many" / "two.csv").write_text("a;b\n2;y\n3;z\n", encoding="utf-8")
     folder = tables.read_folder(spark, str(tmp_path / "many"), "a int, b string", sep=";")
     assert sorted(map(tuple, folder.collect())) == [(1, "x", "one"), (2, "y", "two"), (3, "z", "two")]
-    named = tables.folder_tables(spark, str(tmp_path / "many"), sep=";")
+    named = tables.folder_tables(spark, str(tmp_path / "many"), "a int, b string", ["one", "two"], sep=";")
     assert {k: v.count() for k, v in named.items()} == {"one": 1, "two": 2}
 
 

@@ -26,7 +26,8 @@ class DistinctFilters:
         """(config_id, member, id_a) of the records that are represented by another id."""
         if not self.filters.seen["repeated"]:
             # A known-empty side lets the planner drop the joins with it.
-            return self.encoded.sparkSession.createDataFrame([], "config_id int, member bigint, id_a bigint")
+            nothing = self.encoded.select("config_id", F.col("id").alias("member"), F.col("id").alias("id_a"))
+            return self.encoded.sparkSession.createDataFrame([], nothing.schema)
         repeated = self.filters.frame.where(F.col("copies") > 1).select("config_id", "words", "id_a")
         words = self.filters.seen["words"] or 0
         if self.filters.seen["repeated"] * (48 + 8 * words) <= 64 * 1024 * 1024:
@@ -51,6 +52,9 @@ def distinct_filters(encoded: DataFrame) -> DistinctFilters:
 
 
 def last_per_id(encoded: DataFrame) -> DataFrame:
-    """For tables whose ids repeat: the last record of an id, by ``ord``, stands for it."""
-    last = F.max_by(F.struct("ord", "words"), "ord").alias("last")
+    """For tables whose ids repeat: the last record of an id, by ``ord``, stands for it.
+
+    Records of an id with equal ``ord`` are told apart by their filters, so that a rerun keeps the same one.
+    """
+    last = F.max(F.struct("ord", "words")).alias("last")
     return encoded.groupBy("config_id", "id").agg(last).select("config_id", "id", "last.ord", "last.words")

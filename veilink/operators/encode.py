@@ -2,8 +2,7 @@
 
 A filter is the OR of its bigrams' filters, also for the resampled record-level form (copying bits keeps
 OR).  So each distinct (attribute, bigram) is hashed once into a codebook of packed filters, and a record
-is encoded by joining its bigrams to the codebook and OR-ing fixed-width words: map-side combine leaves
-one row per record to shuffle, whatever the number of hash rounds.
+is encoded by joining its bigrams to the codebook and OR-ing fixed-width words within the task that holds the record.
 """
 
 from __future__ import annotations
@@ -11,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import bitwords, hashing
 from ..functions.draws import unit_draw
 from ..functions.text import with_tokens
 from ..sources.store import Stored, store
 from ..sources.sweep import CLK, RLB, LinkConfig, config_rows, widest
+from .subtree import or_runs
 
 
 def with_configs(people: DataFrame, configs: Sequence[LinkConfig]) -> DataFrame:
@@ -89,9 +89,6 @@ class Codebook:
     table: Stored
     words: int
 
-    def joinable(self) -> DataFrame:
-        return self.table.small_side(64 + 8 * self.words)
-
 
 def codebook(
     people: Sequence[DataFrame], columns: Sequence[list[str]], configs: Sequence[LinkConfig], mode: str = "literal"
@@ -119,13 +116,34 @@ def codebook(
 
 
 def encode(people: DataFrame, columns: list[str], configs: Sequence[LinkConfig], book: Codebook, keep: list[str]) -> DataFrame:
-    """Filters of every record: (config_id, keep..., words).  ``keep`` must identify a record."""
+    """Filters of every record: (config_id, keep..., words).  Records with equal ``keep`` stay apart.
+
+    With a broadcast codebook a record's bigrams stay side by side in one task, and their filters are merged
+    there, run by run, without a shuffle.  A larger codebook is met by a shuffled join, so records carry a row
+    number; they are written with it first, so that a task that runs again finds the numbers unchanged.  Null
+    tokens take no part in that join.
+    """
     rows = with_configs(people.select(*dict.fromkeys(keep + columns + _config_column(people))), configs)
-    # Attributes may be carried as well as encoded; keep an untouched copy of what is carried.
-    tokens = with_tokens(rows, columns).select("config_id", *keep, "attr_idx", "token")
-    joined = tokens.join(book.joinable(), ["config_id", "attr_idx", "token"], "left")
-    merged = joined.groupBy("config_id", *keep).agg(*bitwords.merge_words(book.words))
-    return merged.select("config_id", *keep, bitwords.pack(book.words).alias("words"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    carried = ["config_id", *keep]
+    if book.table.fits(64 + 8 * book.words):
+        # Attributes may be carried as well as encoded; keep an untouched copy of what is carried.
+        tokens = with_tokens(numbered, columns).select("_row", *carried, "attr_idx", "token")
+        found = tokens.join(F.broadcast(book.table.frame), ["config_id", "attr_idx", "token"], "left")
+        joined = found.select("_row", *carried, *[f"w{i}" for i in range(book.words)])
+        schema = T.StructType([joined.schema[c] for c in carried] + [T.StructField("words", T.ArrayType(T.LongType()))])
+        n_carried, n_words = len(carried), book.words
+
+        def merge(batches):
+            return or_runs(batches, n_carried, n_words)
+
+        return joined.mapInArrow(merge, schema)
+    written = store(numbered, "numbered").frame
+    tokens = with_tokens(written, columns).select("_row", "config_id", "attr_idx", "token").where(F.col("token").isNotNull())
+    joined = tokens.join(book.table.frame, ["config_id", "attr_idx", "token"])
+    merged = joined.groupBy("_row").agg(*bitwords.merge_words(book.words))
+    packed = written.select("_row", *carried).join(merged, "_row", "left")
+    return packed.select(*carried, bitwords.pack(book.words).alias("words"))
 
 
 def _config_column(people: DataFrame) -> list[str]:

@@ -102,13 +102,14 @@ def curve_summary(points: DataFrame) -> DataFrame:
 def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, truth: str = "truth") -> DataFrame:
     """Counts of a B record's candidate pairs: adds VP, FP, VN and FN.
 
-    Candidates come per distinct filter with a copy count; at most one of the copies is the true partner.
-    A true partner that is represented by another id is found through ``aliases``.  Scores are compared as
+    Candidates come per distinct filter with a copy count; one of the copies, at most, counts as the true partner.
+    A true partner that is represented by another id is found through ``aliases``; where several records of A share
+    the true id, the most similar of them in the leaf is the partner.  Scores are compared as
     32-bit floats; a null score is never at or above the threshold and never a miss.
     """
-    stands_for = aliases.select("config_id", F.col("member").alias(truth), F.col("id_a").alias("stand_in"))
+    # An id that several records of A share may stand behind several others.
+    stands_for = aliases.groupBy("config_id", F.col("member").alias(truth)).agg(F.collect_set("id_a").alias("stand_ins"))
     known = matches.join(stands_for, ["config_id", truth], "left").join(F.broadcast(summary), "config_id")
-    partner = F.coalesce("stand_in", truth)
     above = F.coalesce(F.col("dice_f") >= F.col("threshold"), F.lit(False))
     zero = F.lit(0).cast("bigint")
 
@@ -118,10 +119,11 @@ def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, tr
     def at_or_above(c: Column) -> Column:
         return F.coalesce(c["dice"].cast("float").cast("double") >= F.col("threshold"), F.lit(False))
 
-    found = F.filter("candidates", lambda c: c["id_a"] == F.col("partner"))
-    with_partner = known.withColumn("partner", partner).withColumn(
-        "dice_f", F.get(found, F.lit(0))["dice"].cast("float").cast("double")
-    )
+    def partner(c: Column) -> Column:
+        return (c["id_a"] == F.col(truth)) | F.coalesce(F.array_contains("stand_ins", c["id_a"]), F.lit(False))
+
+    scores = F.transform(F.filter("candidates", partner), lambda c: c["dice"])
+    with_partner = known.withColumn("dice_f", F.array_max(scores).cast("float").cast("double"))
     counted = with_partner.withColumns(
         {
             "total": count(lambda c: F.lit(True)),
@@ -133,7 +135,7 @@ def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, tr
     verdicts = counted.withColumns(
         {"FP": F.col("high") - F.col("VP"), "VN": F.col("total") - F.col("high") - F.col("FN")}
     )
-    return verdicts.drop("stand_in", "partner", "dice_f", "total", "high")
+    return verdicts.drop("stand_ins", "dice_f", "total", "high")
 
 
 def _f(column: Column) -> Column:

@@ -14,7 +14,11 @@ from .subtree import best_in_tile, bit_matrix, dice_of, grow, pair_up, word_matr
 from .tree import Tree, descend
 
 MIN_TILES = 4
-CANDIDATE = "array<struct<id_a:bigint,dice:double,copies:bigint>>"
+
+
+def _candidates(id_type: T.DataType, ord_type: T.DataType) -> T.ArrayType:
+    fields = [("id_a", id_type), ("dice", T.DoubleType()), ("copies", T.LongType()), ("ord", ord_type)]
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: int = 16384) -> DataFrame:
@@ -24,7 +28,9 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
     B rows is replicated (at most ``subtree_rows`` filters) and its B rows are dealt over the replicas, so
     a task never holds more than about ``chunk_rows`` of them.  ``candidates`` has one entry per distinct
     filter of the leaf, at most ``group`` of them, with the number of A records that share the filter.
-    No positive similarity gives a null best; two empty filters have a null Dice.
+    No positive similarity gives a null best; two empty filters have a null Dice.  Ids are of any type with an order.
+    Every row of B is searched on its own, also where ids repeat; where A has no rows, all of B comes back with a
+    null best and no candidates.
     """
     group = tree.group
     routed = descend(encoded_b.withColumn("root", F.lit("")), tree.levels, "root")
@@ -43,21 +49,22 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
     key = ["config_id", "root", "share"]
     left = a.select(*key, "id_a", "words", "copies", "ord").groupBy(*key)
     right = b.select(*key, *keep, "words").groupBy(*key)
+    id_type, ord_type = (tree.placed.schema[c].dataType for c in ("id_a", "ord"))
     out = T.StructType(
         [T.StructField("config_id", T.IntegerType())]
         + [encoded_b.schema[c] for c in keep]
         + [
-            T.StructField("best_a", T.LongType()),
+            T.StructField("best_a", id_type),
             T.StructField("dice", T.DoubleType()),
-            T.StructField("candidates", T.DataType.fromDDL(CANDIDATE)),
+            T.StructField("candidates", _candidates(id_type, ord_type)),
         ]
     )
 
     def link(a_rows, b_rows):
         a_rows = a_rows.sort_by("ord")
         words_a, words_b = word_matrix(a_rows["words"]), word_matrix(b_rows["words"])
-        copies, ids = a_rows["copies"].to_numpy(), a_rows["id_a"].to_numpy()
-        sub = grow(bit_matrix(words_a), copies, group)
+        copies, ids, places = (a_rows[c].combine_chunks() for c in ("copies", "id_a", "ord"))
+        sub = grow(bit_matrix(words_a), copies.to_numpy(), group)
         at_a, at_b, per_b = pair_up(sub.leaf_of, sub.route(bit_matrix(words_b)))
         dice = dice_of(words_a[at_a], words_b[at_b])
         missing = np.isnan(dice)
@@ -68,12 +75,14 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
         hit = np.flatnonzero(scored == np.repeat(top, per_b))
         first = hit[np.searchsorted(hit, offsets[:-1])]
         none = top <= 0
+        chosen = pa.array(at_a)
         candidates = pa.StructArray.from_arrays(
-            [pa.array(ids[at_a]), pa.array(dice, mask=missing), pa.array(copies[at_a])], ["id_a", "dice", "copies"]
+            [ids.take(chosen), pa.array(dice, mask=missing), copies.take(chosen), places.take(chosen)],
+            ["id_a", "dice", "copies", "ord"],
         )
         columns = {"config_id": b_rows["config_id"]}
         columns |= {c: b_rows[c] for c in keep}
-        columns["best_a"] = pa.array(ids[at_a[first]], mask=none)
+        columns["best_a"] = ids.take(pa.array(at_a[first], mask=none))
         columns["dice"] = pa.array(top, mask=none)
         columns["candidates"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), candidates)
         return pa.table(columns)
@@ -81,7 +90,12 @@ def search_tree(tree: Tree, encoded_b: DataFrame, keep: list[str], chunk_rows: i
     def meet(a_rows, b_rows):
         if b_rows.num_rows and a_rows.num_rows:
             return link(a_rows, b_rows)
-        return empty
+        if not b_rows.num_rows:
+            return empty
+        own = {c: b_rows[c] for c in ["config_id", *keep]}
+        nothing = {c: pa.nulls(b_rows.num_rows, empty.schema.field(c).type) for c in ("best_a", "dice")}
+        none_each = pa.array([[]] * b_rows.num_rows, empty.schema.field("candidates").type)
+        return pa.table(own | nothing | {"candidates": none_each})
 
     empty = _empty(out)
     return left.cogroup(right).applyInArrow(meet, out)
@@ -120,9 +134,8 @@ def search_all(distinct: DistinctFilters, encoded_b: DataFrame, keep: list[str],
         .withColumn("tile_b", F.pmod(F.xxhash64("b_words", F.lit("tile")), F.lit(tiles_b)).cast("int"))
         .withColumn("tile_a", F.explode(F.sequence(F.lit(0), F.lit(tiles_a - 1))))
     )
-    schema = "config_id int, words array<bigint>, id_a bigint, ord bigint, dice double"
-    parsed = T.DataType.fromDDL(schema)
-    empty = _empty(parsed)
+    schema = T.StructType([filters.schema[c] for c in ("config_id", "words", "id_a", "ord")] + [T.StructField("dice", T.DoubleType())])
+    empty = _empty(schema)
 
     def compare(a_rows, b_rows):
         if not (a_rows.num_rows and b_rows.num_rows):
@@ -147,21 +160,35 @@ def search_all(distinct: DistinctFilters, encoded_b: DataFrame, keep: list[str],
         .applyInArrow(compare, schema)
     )
     best = scored.groupBy("config_id", "words").agg(
-        F.max(F.struct("dice", (-F.col("ord")).alias("rank"), "id_a")).alias("top")
+        F.min(F.struct((-F.col("dice")).alias("below"), "ord", "id_a")).alias("top")
     )
-    compared = best.select("config_id", "words", F.col("top.id_a").alias("best_a"), F.col("top.dice").alias("dice"))
+    compared = best.select("config_id", "words", F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
     exact = wide.frame.where("sure").select("config_id", "words", F.col("id_a").alias("best_a"), F.lit(1.0).alias("dice"))
     found = exact.unionByName(compared)
     return b.join(found, ["config_id", "words"], "left").select("config_id", *keep, "best_a", "dice")
 
 
 def candidates_long(matches: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per B record and distinct candidate filter: (config_id, keep..., id_a, dice, copies)."""
+    """One row per B record and distinct candidate filter: (config_id, keep..., id_a, dice, copies, ord)."""
     return matches.select("config_id", *keep, F.inline("candidates"))
 
 
+def candidate_pairs(matches: DataFrame, aliases: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per B record and candidate record of A: (config_id, keep..., id_a, dice).
+
+    Copies that stand behind a candidate's first id (``aliases``: config_id, member, id_a) are listed by an
+    equi-join, each with its own id; a hot filter's rows are dealt by the planner's skew handling.
+    """
+    found = candidates_long(matches, keep).select("config_id", *keep, "id_a", "dice")
+    copies = found.join(aliases, ["config_id", "id_a"]).select("config_id", *keep, F.col("member").alias("id_a"), "dice")
+    return found.unionByName(copies)
+
+
 def candidate_map(matches: DataFrame, keep: list[str]) -> DataFrame:
-    """Export form: ``pares_candidatos map<bigint,float>`` from candidate to Dice, beside the best."""
+    """Export form: ``pares_candidatos`` maps each distinct filter's first id to Dice, beside the best.
+
+    ``candidate_pairs`` has the ids of all copies.
+    """
     entries = F.transform(
         "candidates", lambda c: F.struct(c["id_a"].alias("key"), c["dice"].cast("float").alias("value"))
     )
@@ -177,10 +204,10 @@ def candidate_map(matches: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def best_of(candidates: DataFrame, keep: list[str]) -> DataFrame:
-    """Best candidate from the long form; ties go to the smallest id, no positive Dice gives no row."""
-    top = F.max(F.struct("dice", (-F.col("id_a")).alias("rank"))).alias("top")
+    """Best candidate from the long form; ties go to the first in A's order, no positive Dice gives no row."""
+    top = F.min(F.struct((-F.col("dice")).alias("below"), "ord", "id_a")).alias("top")
     grouped = candidates.where(F.col("dice") > 0).groupBy("config_id", *keep).agg(top)
-    return grouped.select("config_id", *keep, (-F.col("top.rank")).alias("best_a"), F.col("top.dice").alias("dice"))
+    return grouped.select("config_id", *keep, F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
 
 
 def pair_dice(a: DataFrame, b: DataFrame, on: list[str], words: int) -> DataFrame:

@@ -9,7 +9,8 @@ The upper tree is built breadth-first by joins and aggregates: one job per level
 the open nodes and writes the level's splits.  Rows are not rewritten per level; they find their node by
 joining the split tables written so far, several levels to a join.  Every ``regroup_every`` levels the rows are written once,
 range-partitioned by (node, filter hash), so that counts combine before the shuffle and a big node still
-spreads over many tasks.  A node of at most ``subtree_rows`` distinct filters is finished by one task.
+spreads over many tasks.  A node of at most ``subtree_rows`` distinct
+filters is finished by one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import bitwords
 from ..sources.store import BROADCAST_BYTES, Stored, store
@@ -27,6 +28,7 @@ from .subtree import bit_matrix, count_batches, grow, word_matrix
 
 SPLIT_ROW_BYTES = 160
 HOPS = 6
+SUBTREE_BYTES = 16 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,7 @@ def build_tree(
     distinct: DistinctFilters,
     size: int,
     group: int = 5,
-    subtree_rows: int = 4096,
+    subtree_rows: int | None = None,
     min_levels: int = 3,
     regroup_every: int = HOPS,
     max_levels: int | None = None,
@@ -141,9 +143,11 @@ def build_tree(
     """Build the upper tree; the first ``min_levels`` levels are always built by joins and aggregates.
 
     The root is split even if it holds ``group`` records or fewer, so there is at least one such level.
-    ``max_levels`` stops early and is meant for looking at the first splits.
+    ``subtree_rows`` is by default what unpacks to ``SUBTREE_BYTES`` in a task.  ``max_levels`` stops early and is meant
+    for looking at the first splits.
     """
     min_levels = max(1, min_levels)
+    subtree_rows = subtree_rows or max(4096, SUBTREE_BYTES // max(1, size))
     filters = distinct.filters.frame
     # One row per configuration.
     roots = filters.groupBy("config_id").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d")).collect()
@@ -174,7 +178,6 @@ def build_tree(
     return Tree(levels, placed, group)
 
 
-LEAF_SCHEMA = "config_id int, id_a bigint, node_path string"
 SPLIT_SCHEMA = "config_id int, node_path string, bit int"
 
 
@@ -192,7 +195,8 @@ def leaf_of(tree: Tree) -> DataFrame:
         paths = np.array([root + p for p in sub.path], dtype=object)[sub.leaf_of]
         return pa.table({"config_id": rows["config_id"], "id_a": rows["id_a"], "node_path": pa.array(paths, pa.string())})
 
-    return _by_root(tree).applyInArrow(finish, LEAF_SCHEMA)
+    schema = T.StructType([*(tree.placed.schema[c] for c in ("config_id", "id_a")), T.StructField("node_path", T.StringType())])
+    return _by_root(tree).applyInArrow(finish, schema)
 
 
 def leaf_members(tree: Tree, distinct: DistinctFilters) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,11 +21,11 @@ from ..operators.sampling import strata, stratified_sample
 from ..operators.synth import with_synthetic_date
 from ..operators.tree import build_tree, leaf_members, splits_of
 from ..sources.store import fresh_path, store
-from ..sources.sweep import ABF, CLK, RLB, ErrorWeights, LinkConfig, append_configs, grid, read_configs, sizes
-from ..sources.tables import normalise_columns, read_delimited, read_table, write_base
+from ..sources.sweep import ABF, CLK, RLB, ErrorWeights, LinkConfig, append_configs, grid, read_configs, sizes, to_configs
+from ..sources.tables import append_results, normalise_columns, read_delimited, read_folder, read_table, write_base
 from . import linkage
 from .base_builder import BASE_SEED, FRACTION, GUARDIAN_SEED, synthetic_base, with_city_code
-from .people import GOLD_COLUMNS, gold_sides, people_of, side_a, side_b
+from .people import GOLD_COLUMNS, exchanged, gold_sides, people_of, side_a, side_b, with_copies, with_repeated_ids
 
 ROLES = Roles()
 ATTRS = ROLES.attributes
@@ -52,8 +53,10 @@ def _register(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     register = people_of(spark, sf).select(
         "id", F.col("state").alias("UF"), F.col("name").alias("NOME"), F.col("state").alias("MUNICIPIO")
     )
-    cities = read_table(spark, f"{sf}/nation.parquet").where(F.col("n_nationkey") < 20).select(
-        F.lower("n_name").alias("cidade"), (F.lit(1000) + F.col("n_nationkey")).alias("COD_MUNICIPIO")
+    # Some cities go by another name, so that the left join has rows without a match.
+    name = F.when(F.col("n_nationkey") < 20, F.lower("n_name")).otherwise(F.concat(F.lit("nova "), F.lower("n_name")))
+    cities = read_table(spark, f"{sf}/nation.parquet").select(
+        name.alias("cidade"), (F.lit(1000) + F.col("n_nationkey")).alias("COD_MUNICIPIO")
     )
     return register, normalise_columns(cities, {"cidade": "MUNICIPIO"})
 
@@ -297,10 +300,87 @@ def report_by_error(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_gold(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = gold_sides(stored_people(spark, sf))
+    people = stored_people(spark, sf)
+    a, b = gold_sides(people, inject_errors(people, WEIGHTS, SEED))
     return _rounded(linkage.link_gold(a, b, GOLD_COLUMNS, [GOLD]).report_overall())
 
 
+def link_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that repeat on both sides: the last record of an id stands in A, every row of B is searched."""
+    people = stored_people(spark, sf)
+    damaged = inject_errors(people, WEIGHTS, SEED)
+    b = damaged.unionByName(exchanged(damaged.where(F.col("id") % 20 == 5))).withColumn("check", F.col("id"))
+    found = linkage.link_gold(with_repeated_ids(people), b, ATTRS, [MAIN], last_of_id=True)
+    return found.matches.select("id", "best_a", F.round("dice", 6).alias("dice"), "hit")
+
+
+def _copy_links(spark: SparkSession, sf: str) -> linkage.Links:
+    people = stored_people(spark, sf)
+    return linkage.link_synthetic(with_copies(people), side_b(people), [MAIN])
+
+
+def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _copy_links(spark, sf).candidate_pairs(["id"])
+    return pairs.select("id", "id_a", F.round("dice", 6).alias("dice"))
+
+
+def pair_verdicts_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return _copy_links(spark, sf).verdicts().select("id", "VP", "FP", "VN", "FN")
+
+
+def report_by_error_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_copy_links(spark, sf).report_by_error())
+
+
+def _triple_links(spark: SparkSession, sf: str) -> linkage.Links:
+    people = stored_people(spark, sf)
+    return linkage.link_synthetic(side_a(people), side_b(people), [replace(MAIN, hash=TRIPLE)])
+
+
+def link_tree_triple(spark: SparkSession, sf: str) -> DataFrame:
+    return _triple_links(spark, sf).matches.select("id", "error_type", "best_a", F.round("dice", 6).alias("dice"), "hit")
+
+
+def report_by_error_triple(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_triple_links(spark, sf).report_by_error())
+
+
+def sweep_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep's 27 configurations, written as one JSON object, read back and linked."""
+    path = fresh_path(spark, "sweep-object")
+    entries = grid(spark).agg(F.map_from_entries(F.collect_list(F.struct("config", "body"))).alias("m"))
+    entries.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    people = stored_people(spark, sf)
+    found = linkage.link_synthetic(side_a(people), side_b(people), to_configs(read_configs(spark, path), seed=SEED))
+    return found.matches.select("config_id", "id", "error_type", "best_a", F.round("dice", 6).alias("dice"), "hit")
+
+
+def slice_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Slices of a table in the order of a key with few values: one near the head, one by ordinal."""
+    columns = ["l_returnflag", "l_orderkey", "l_linenumber", "l_quantity"]
+    lines = read_table(spark, f"{sf}/lineitem.parquet").select(*columns)
+    head = rows_between(lines, 0, 50, ["l_returnflag"]).select(F.lit("head").alias("slice"), *columns)
+    middle = rows_between(lines, 12000, 12100, ["l_returnflag"]).select(F.lit("middle").alias("slice"), *columns)
+    return head.unionByName(middle)
+
+
+def folder_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """People written as a folder of delimited files per state, and read as one table."""
+    path = fresh_path(spark, "states")
+    people_of(spark, sf).select("id", "name", "state").write.partitionBy("state").option("header", True).csv(path)
+    rows = read_folder(spark, path, "id bigint, name string", by="folder")
+    return rows.select("id", "name", F.regexp_replace("table", "^state=", "").alias("table_name"))
+
+
+def append_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Results appended by error type, two times, and read back."""
+    path = fresh_path(spark, "results")
+    damaged = inject_errors(people_of(spark, sf), WEIGHTS, SEED).select("id", "state", F.col("error_type").alias("Tipo_erro"))
+    for _ in range(2):
+        append_results(damaged, path)
+    return read_delimited(spark, path, schema="id bigint, state string, Tipo_erro string").select("Tipo_erro", "id", "state")
+
+
 def sweep_links(spark: SparkSession, sf: str) -> DataFrame:
     people = stored_people(spark, sf)
     found = linkage.link_synthetic(side_a(people), side_b(people), SWEEP)
@@ -365,6 +445,16 @@ def all_queries() -> dict[str, Query]:
         "report_by_error": report_by_error,
         "report_gold": report_gold,
         "sweep_links": sweep_links,
+        "sweep_from_file": sweep_from_file,
+        "link_tree_triple": link_tree_triple,
+        "report_by_error_triple": report_by_error_triple,
+        "link_repeated_ids": link_repeated_ids,
+        "candidate_pairs": candidate_pairs,
+        "pair_verdicts_copies": pair_verdicts_copies,
+        "report_by_error_copies": report_by_error_copies,
+        "slice_ties": slice_ties,
+        "folder_scan": folder_scan,
+        "append_results": append_twice,
         "zip_join": zip_join,
         "synthetic_dates": synthetic_dates,
         "synthetic_base": synthetic,

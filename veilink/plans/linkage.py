@@ -8,9 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import evaluate
+from ..operators import evaluate, match
 from ..operators.corrupt import Roles, inject_errors
-from ..operators.distinct import DistinctFilters, distinct_filters
+from ..operators.distinct import DistinctFilters, distinct_filters, last_per_id
 from ..operators.encode import codebook, encode, with_configs
 from ..operators.match import search_all, search_tree
 from ..operators.tree import Tree, build_tree
@@ -51,12 +51,19 @@ def encode_sides(
     configs: Sequence[LinkConfig],
     keep_b: list[str],
     hash_mode: str = "literal",
+    last_of_id: bool = False,
 ) -> Encoded:
-    """``a`` needs ``id`` (and ``ord`` if the order of A is not that of its ids)."""
+    """``a`` needs ``id`` (and ``ord`` if the order of A is not that of its ids), of any type with an order.
+
+    Records of A whose ids repeat all stand, unless ``last_of_id`` keeps the last one, by ``ord``, of each id.
+    """
+    if last_of_id and "ord" not in a.columns:
+        raise ValueError("the last record of an id is told by the column ord")
     configs = [c.with_attrs(len(columns_a)) for c in configs]
     book = codebook([a, b], [columns_a, columns_b], configs, hash_mode)
     keep_a = ["id"] + (["ord"] if "ord" in a.columns else [])
-    stored_a = store(encode(a, columns_a, configs, book, keep_a), "encoded-a")
+    filters_a = encode(a, columns_a, configs, book, keep_a)
+    stored_a = store(last_per_id(filters_a) if last_of_id else filters_a, "encoded-a")
     encoded_b = encode(b, columns_b, configs, book, keep_b)
     return Encoded(stored_a, distinct_filters(stored_a.frame), encoded_b, widest(configs))
 
@@ -103,6 +110,10 @@ class Links:
         aliases = self._per_run(self.encoded.distinct.aliases())
         return evaluate.pair_verdicts(self.matches, self.summary() if summary is None else summary, aliases)
 
+    def candidate_pairs(self, keep: list[str]) -> DataFrame:
+        """All candidate records of A for every B record, copies included: (config_id, keep..., id_a, dice)."""
+        return match.candidate_pairs(self.matches, self._per_run(self.encoded.distinct.aliases()), keep)
+
     def size_a(self) -> DataFrame:
         return self._per_run(sizes_of(self.encoded.a.frame, "size_a"))
 
@@ -126,27 +137,51 @@ def _links(
     runs = with_configs(b, configs)
     table = ", ".join(f"{run}, {index}" for run, index in index_of.items())
     runs = runs.withColumn("run_id", F.col("config_id")).withColumn("config_id", F.expr(f"map({table})[config_id]"))
-    encoded = encode_sides(a, runs, columns, columns, indexed, ["run_id"] + keep)
-    found = search_tree(encoded.index(**options), encoded.b, ["run_id"] + keep)
+    encoded = encode_sides(a, runs, columns, columns, indexed, ["run_id"] + keep, last_of_id=options["last_of_id"])
+    tree = encoded.index(subtree_rows=options["subtree_rows"], min_levels=options["min_levels"])
+    found = search_tree(tree, encoded.b, ["run_id"] + keep)
     matches = found.drop("config_id").withColumnRenamed("run_id", "config_id")
     return Links(store(evaluate.with_hit(matches), "matches").frame, encoded, configs, index_of)
 
 
+def _options(last_of_id: bool, subtree_rows: int | None, min_levels: int) -> dict:
+    return {"last_of_id": last_of_id, "subtree_rows": subtree_rows, "min_levels": min_levels}
+
+
 def link_synthetic(
-    a: DataFrame, b_clean: DataFrame, configs: Sequence[LinkConfig], roles: Roles = Roles(), **tree_options
+    a: DataFrame,
+    b_clean: DataFrame,
+    configs: Sequence[LinkConfig],
+    roles: Roles = Roles(),
+    last_of_id: bool = False,
+    subtree_rows: int | None = None,
+    min_levels: int = 3,
 ) -> Links:
-    """A against a damaged copy of B; a record's true partner has the same id."""
-    b = corrupted_b(b_clean, configs, roles).withColumn("truth", F.col(roles.key))
-    keep = [roles.key, "truth", "error_type"] + (["has_partner"] if "has_partner" in b_clean.columns else [])
-    return _links(a, b, roles.attributes, configs, keep, tree_options)
+    """A against a damaged copy of B; a record's true partner has the same id.
+
+    Both tables name their columns by ``roles``; the result has the key as ``id``.
+    """
+    b = corrupted_b(b_clean, configs, roles).withColumnRenamed(roles.key, "id").withColumn("truth", F.col("id"))
+    keep = ["id", "truth", "error_type"] + (["has_partner"] if "has_partner" in b_clean.columns else [])
+    a = a.withColumnRenamed(roles.key, "id")
+    return _links(a, b, roles.attributes, configs, keep, _options(last_of_id, subtree_rows, min_levels))
 
 
 def link_gold(
-    a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], check: str = "check", **tree_options
+    a: DataFrame,
+    b: DataFrame,
+    columns: list[str],
+    configs: Sequence[LinkConfig],
+    check: str = "check",
+    key: str = "id",
+    last_of_id: bool = False,
+    subtree_rows: int | None = None,
+    min_levels: int = 3,
 ) -> Links:
     """A against B with a gold column naming the true partner; nothing is damaged."""
+    a, b = (side.withColumnRenamed(key, "id") for side in (a, b))
     b = b.withColumn("truth", F.col(check))
-    return _links(a, b, columns, configs, ["id", "truth"], tree_options)
+    return _links(a, b, columns, configs, ["id", "truth"], _options(last_of_id, subtree_rows, min_levels))
 
 
 def link_exhaustive(a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str]) -> DataFrame:

@@ -1,18 +1,81 @@
 """SQL counterparts of the registered queries, for DuckDB on the same tables.
 
 The texts are assembled from common table expressions, so that one definition of people, damage, tokens,
-filters, tree and candidates serves all queries.  There is no sha512 in that dialect: the triple family has
-no SQL here and is tested against big-integer arithmetic instead.
+filters, tree and candidates serves all queries.  Rules and constants are spelled out here rather than imported, so that
+a wrong one in the package shows.  There is no sha512 in that dialect: its residues come as a table of all bigrams over the
+fixture's alphabet, and a bigram that is not in it gives a null position.
 """
 
 from __future__ import annotations
 
-from ..functions.damage import SPELLING_RULES
-from ..functions.draws import cut_points
-from ..operators.corrupt import CODE_NOISE, DATE_NOISE, ERROR_LABELS
-from ..operators.synth import STEPS
-from ..sources.sweep import CLK, GRID_HASH, GRID_ROUNDS, RLB, ErrorWeights, LinkConfig
-from . import catalog as c
+import hashlib
+from dataclasses import dataclass, replace
+from itertools import accumulate
+
+# Fixed values, as the damage rules and the published sweep have them.
+CLK, RLB = "CLK", "RLB"
+SPELLING_RULES = (
+    ("SS", "Ç"), ("Ç", "SS"), ("Z", "S"), ("K", "C"), ("TH", "T"), ("EI", "E"), ("ANA", "ANNA"), ("DE ", ""), ("RR", "R"),
+    ("Y", "I"), ("W", "U"),
+)
+ERROR_LABELS = ("Sem erro", "tipo 1", "tipo 2", "tipo 3", "tipo 4", "tipo 5")
+CODE_NOISE, DATE_NOISE = 10_000, 365
+STEPS = 100
+GRID_ROUNDS, GRID_HASH = 2, "TripleHash"
+ALPHABET = "_ .,/-#'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZÇabcdefghijklmnopqrstuvwxyz"
+SUPPRESS, WORDS = (0.25,) * 4, (0.15,) * 6
+SEED, BASE_SEED, GUARDIAN_SEED, FRACTION = 1991, 1991, 312, 0.05
+SLICE = (100, 400)
+GOLD_COLUMNS = ["nome", "data_nasc", "sexo", "mae", "municipio"]
+
+
+@dataclass(frozen=True)
+class Run:
+    """Parameters of a linkage run; ``percent`` is the share of each error type."""
+
+    number: int = 1
+    m: int = 100
+    k: int = 2
+    hash: str = "DoubleHash"
+    encoding: str = CLK
+    percent: int = 5
+    attributes: int = 4
+    seed: int = SEED
+
+    @property
+    def size(self) -> int:
+        return self.m * self.attributes
+
+    @property
+    def modulus(self) -> int:
+        return self.size if self.encoding == CLK else self.m
+
+    @property
+    def rlb_slots(self) -> int:
+        return self.m * 2 // 5 if self.encoding == RLB else 0
+
+
+MAIN = Run()
+ABF_RUN, RLB_RUN = Run(encoding="ABF"), Run(encoding=RLB)
+GOLD = Run(m=200, k=20, encoding="ABF", attributes=5)
+TRIPLE_RUN = Run(hash="TripleHash")
+SWEEP = [Run(1, encoding="ABF"), Run(2, percent=2), Run(3, encoding=RLB, percent=10)]
+GRID = [
+    Run((i * 3 + j) * 3 + l + 1, m, GRID_ROUNDS, GRID_HASH, encoding, percent)
+    for i, m in enumerate((100, 200, 400))
+    for j, encoding in enumerate(("ABF", CLK, RLB))
+    for l, percent in enumerate((2, 5, 10))
+]
+
+
+def cut_points(weights) -> list[float]:
+    """Upper ends of all parts but the last, for shares of 1."""
+    total = sum(weights)
+    return [x / total for x in accumulate(weights)][:-1]
+
+
+def group_shares(percent: float) -> tuple[float, ...]:
+    return (1 - 5 * percent / 100,) + (percent / 100,) * 5
 
 PEOPLE = """
 dob as (select o_custkey, min(o_orderdate) as d from orders group by o_custkey),
@@ -38,7 +101,7 @@ def number(x: float) -> str:
     return f"{x!r}e0"
 
 
-def draw(purpose: str, *keys: str, seed: int = c.SEED) -> str:
+def draw(purpose: str, *keys: str, seed: int = SEED) -> str:
     text = ", ':', ".join([f"'{seed}:{purpose}'", *keys])
     return f"(cast('0x' || substr(md5(concat({text})), 1, 8) as ubigint) / 4294967296e0)"
 
@@ -84,7 +147,7 @@ def shift_date(z: str) -> str:
     return f"strftime({moved}, '%d/%m/%Y')"
 
 
-def damaged(weights: ErrorWeights, name: str = "b", source: str = "people") -> str:
+def damaged(percent: int, name: str = "b", source: str = "people") -> str:
     """B: all people, damaged."""
 
     def name_like(z: str, i: int) -> str:
@@ -97,8 +160,8 @@ def damaged(weights: ErrorWeights, name: str = "b", source: str = "people") -> s
     labels = " ".join(f"when {i} then '{x}'" for i, x in enumerate(ERROR_LABELS))
     return f"""
 {name}_buckets as (
-  select *, {bucket(draw('group', 'id'), weights.groups)} as g,
-    {bucket(draw('suppress', 'id'), weights.suppress)} as s, {bucket(draw('words', 'id'), weights.words)} as w
+  select *, {bucket(draw('group', 'id'), group_shares(percent))} as g,
+    {bucket(draw('suppress', 'id'), SUPPRESS)} as s, {bucket(draw('words', 'id'), WORDS)} as w
   from {source}),
 {name} as (
   select id, {name_like('name', 0)}, {name_like('guardian', 1)},
@@ -121,8 +184,19 @@ def tokens(name: str, source: str, attrs: list[str] = ATTRS) -> str:
   from (select id, attr_idx, v, unnest(generate_series(1, length(v) + 1)) as i from {name}_values where v is not null))"""
 
 
-def residues(source: str, m: int) -> str:
-    """md5 and sha256 residues of distinct tokens; sha256 in two halves."""
+def sha512_table(m: int) -> str:
+    """(token, r3): sha512 residues of all bigrams over the fixture's alphabet."""
+    pairs = [x + y for x in ALPHABET for y in ALPHABET]
+    rows = ", ".join(
+        f"('{t.replace(chr(39), chr(39) * 2)}', {int(hashlib.sha512(t.encode()).hexdigest(), 16) % m})" for t in pairs
+    )
+    return f"(values {rows}) sha(token, r3)"
+
+
+def residues(source: str, m: int, triple: bool = False) -> str:
+    """md5 and sha256 residues of distinct tokens, sha256 in two halves; sha512 from its table."""
+    if triple:
+        return f"select x.*, r3 from ({residues(source, m)}) x left join {sha512_table(m)} using (token)"
     step = pow(2, 128, m)
     half = lambda start: f"(cast('0x' || substr(sha256(token), {start}, 32) as uhugeint) % {m})"
     return (
@@ -131,14 +205,14 @@ def residues(source: str, m: int) -> str:
     )
 
 
-def bits(name: str, config: LinkConfig) -> str:
-    """(id, bit) of a table's tokens under a double-hash configuration."""
+def bits(name: str, config: Run) -> str:
+    """(id, bit) of a table's tokens."""
     offset = "0" if config.encoding == CLK else f"attr_idx * {config.m}"
     m = config.modulus
     raw = f"{name}_source" if config.encoding == RLB else f"{name}_bits"
     text = f"""
-{name}_hash as ({residues(f'{name}_tokens', m)}),
-{name}_book as (select token, (r1 + i * r2) % {m} as pos from {name}_hash, range(1, {config.k + 1}) t(i)),
+{name}_hash as ({residues(f'{name}_tokens', m, config.hash == "TripleHash")}),
+{name}_book as (select token, (r1 + i * r2{" + i * (i - 1) // 2 * r3" if config.hash == "TripleHash" else ""}) % {m} as pos from {name}_hash, range(1, {config.k + 1}) t(i)),
 {raw} as (select distinct id, cast(pos + {offset} as integer) as bit from {name}_tokens join {name}_book using (token))"""
     if config.encoding == RLB:
         text += f"""{gather(name, config)},
@@ -146,7 +220,7 @@ def bits(name: str, config: LinkConfig) -> str:
     return text
 
 
-def gather(name: str, config: LinkConfig) -> str:
+def gather(name: str, config: Run) -> str:
     m = config.m
     slot, pick, mix = (
         draw("rlb-slot", "attr_idx", "pos", seed=config.seed),
@@ -217,10 +291,12 @@ def scored(name: str, a_bits: str, b_bits: str, pairs: str) -> str:
   select id, max(struct_pack(d := dice, r := -id_a)) as top from {name}_cand where dice > 0 group by id)"""
 
 
-def linked(name: str, a_bits: str, b_bits: str, b: str, truth: str = "id") -> str:
+def linked(name: str, a_bits: str, b_bits: str, b: str, truth: str = "id", first_only: bool = True) -> str:
+    """Best link of every B row; ``first_only`` lists one candidate per distinct filter, else all records of the leaf."""
+    first = f"join {name}_first f on f.id = x.id and f.id_a = x.id " if first_only else ""
     pairs = (
         f"select y.id as id, x.id as id_a from {name}_t_leaf x join {name}_t_leaf y on x.path = y.path "
-        f"join {name}_first f on f.id = x.id and f.id_a = x.id where x.side = 0 and y.side = 1"
+        f"{first}where x.side = 0 and y.side = 1"
     )
     return f"""{tree(name + '_t', a_bits, b_bits)},{same_filters(name, a_bits)},{scored(name, a_bits, b_bits, pairs)},
 {name}_links as (
@@ -233,9 +309,9 @@ def query(select: str, *ctes: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{','.join(x.strip() for x in ctes)}\n{select}"
 
 
-def synthetic_run(config: LinkConfig) -> list[str]:
+def synthetic_run(config: Run) -> list[str]:
     return [
-        PEOPLE, SIDE_A, damaged(config.weights), tokens("a", "a"), bits("a", config), tokens("b", "b"),
+        PEOPLE, SIDE_A, damaged(config.percent), tokens("a", "a"), bits("a", config), tokens("b", "b"),
         bits("b", config), linked("l", "a_bits", "b_bits", "b"),
     ]
 
@@ -275,7 +351,7 @@ def verdicts(label: str | None) -> str:
     return VERDICTS.replace("ANY_TYPE", f"any_value({label}) as {label}" if label else "0 as none")
 
 
-def ratios(config: LinkConfig) -> str:
+def ratios(config: Run) -> str:
     f = lambda x: f"round(cast(cast({x} as float) as double), 6)"
     p, r = "cast(cast(p as float) as double)", "cast(cast(r as float) as double)"
     return f"""
@@ -312,14 +388,14 @@ grid as (
 
 def share_groups() -> str:
     parts = " union all ".join(
-        f"select {x} as percent, {bucket(draw('group', 'id'), ErrorWeights.evenly(x / 100).groups)} as error_group from people"
+        f"select {x} as percent, {bucket(draw('group', 'id'), group_shares(x))} as error_group from people"
         for x in (2, 5, 10)
     )
     return f"drawn as ({parts})"
 
 
 def sample(seed: int, columns: str) -> str:
-    return f"select {columns} from people where state is not null and {draw('stratum', 'id', seed=seed)} < {number(c.FRACTION)}"
+    return f"select {columns} from people where state is not null and {draw('stratum', 'id', seed=seed)} < {number(FRACTION)}"
 
 
 def inverse(key: str, seed: int) -> str:
@@ -342,7 +418,8 @@ def at_draw(source: str, key: str, seed: int) -> str:
     return f"{source} r join q lo on lo.i = {low} join q hi on hi.i = {low} + 1"
 
 
-CITIES = "cities as (select upper(lower(n_name)) as city, 1000 + n_nationkey as code from nation where n_nationkey < 20)"
+CITIES = """cities as (
+  select case when n_nationkey < 20 then n_name else 'NOVA ' || n_name end as city, 1000 + n_nationkey as code from nation)"""
 
 
 def damage_queries() -> dict[str, str]:
@@ -358,24 +435,24 @@ def damage_queries() -> dict[str, str]:
     return {name: query(f"select id, {columns} from people", PEOPLE) for name, columns in rules.items()}
 
 
-def hash_query(k: int, enhanced: bool) -> str:
-    term = "0"
-    if enhanced:
-        term = "cast(trunc(xor(i, 3 - i) / 6.0e0) as bigint)"
+def hash_query(k: int, family: str = "") -> str:
+    term = {
+        "": "0", "enhanced": "cast(trunc(xor(i, 3 - i) / 6.0e0) as bigint)", "triple": "i * (i - 1) // 2 * r3",
+    }[family]
     pos = f"cast((((r1 + i * r2 + {term}) % 100) + 100) % 100 as bigint)"
     return query(
         f"select token, cast(i as integer) as round, {pos} as pos, uses from h join u using (token), range(1, {k + 1}) t(i)",
-        PEOPLE, tokens("p", "people"), f"h as ({residues('p_tokens', 100)})",
+        PEOPLE, tokens("p", "people"), f"h as ({residues('p_tokens', 100, family == 'triple')})",
         "u as (select token, count(*) as uses from p_tokens group by token)",
     )
 
 
-def encode_query(config: LinkConfig) -> str:
+def encode_query(config: Run) -> str:
     return query("select id, bit from p_bits", PEOPLE, tokens("p", "people"), bits("p", config))
 
 
 def first_splits(levels: int) -> str:
-    parts = [PEOPLE, SIDE_A, tokens("a", "a"), bits("a", c.MAIN), "n0 as (select id, '' as path from a)"]
+    parts = [PEOPLE, SIDE_A, tokens("a", "a"), bits("a", MAIN), "n0 as (select id, '' as path from a)"]
     selects = []
     for i in range(levels):
         parts.append(f"""
@@ -396,10 +473,10 @@ n{i + 1} as (
 def sweep_query() -> str:
     parts = [PEOPLE, SIDE_A, tokens("a", "a")]
     selects = []
-    for config in c.SWEEP:
-        n = config.config_id
+    for config in SWEEP:
+        n = config.number
         parts += [
-            damaged(config.weights, f"b{n}"), tokens(f"b{n}", f"b{n}"), bits(f"b{n}", config),
+            damaged(config.percent, f"b{n}"), tokens(f"b{n}", f"b{n}"), bits(f"b{n}", config),
             f"a{n}_tokens as (select * from a_tokens)", bits(f"a{n}", config),
             linked(f"l{n}", f"a{n}_bits", f"b{n}_bits", f"b{n}"),
         ]
@@ -413,28 +490,84 @@ def gold_query() -> str:
         "guardian as mae, city_code as municipio"
     )
     shaped = f"gold as (select id, {columns} from people)"
-    b = 'b as (select id + 1000000 as id, id as "check", * exclude (id) from gold)'
+    b = f'b as (select id + 1000000 as id, id as "check", {columns} from d)'
     return query(
-        f"select {ratios(c.GOLD)} from sums", PEOPLE, shaped, "a as (select * from gold where id % 20 <> 19)", b,
-        tokens("a", "a", c.GOLD_COLUMNS), bits("a", c.GOLD), tokens("b", "b", c.GOLD_COLUMNS), bits("b", c.GOLD),
+        f"select {ratios(GOLD)} from sums", PEOPLE, damaged(5, "d"), shaped, "a as (select * from gold where id % 20 <> 19)", b,
+        tokens("a", "a", GOLD_COLUMNS), bits("a", GOLD), tokens("b", "b", GOLD_COLUMNS), bits("b", GOLD),
         linked("l", "a_bits", "b_bits", "b", '"check"'), CURVE, verdicts(None), sums(None), recursive=True,
     )
 
 
+COPIES_A = """
+a as (select * from people where id % 20 <> 19 union all
+  select id + 1000000 as id, * exclude (id) from people where id % 20 = 7)"""
+
+REPEATED_A = """
+a as (
+  select id, case when id % 20 = 3 then guardian else name end as name, case when id % 20 = 3 then name else guardian end as guardian,
+    birth_date, city_code from people where id % 20 <> 19)"""
+REPEATED_B = """
+b as (
+  select id, id as "check", name, guardian, birth_date, city_code from d union all
+  select id + 10000000, id, guardian, name, birth_date, city_code from d where id % 20 = 5)"""
+
+
+def on_sides(a: str, config: Run, b: list[str], truth: str = "id", first_only: bool = True) -> list[str]:
+    return [
+        PEOPLE, a, *b, tokens("a", "a"), bits("a", config), tokens("b", "b"), bits("b", config),
+        linked("l", "a_bits", "b_bits", "b", truth, first_only),
+    ]
+
+
+def grid_query() -> str:
+    """All configurations of the sweep: one recursion per encoding, for the B sides of all error shares together."""
+    shift = {2: 10_000_000, 5: 20_000_000, 10: 30_000_000}
+    parts = [PEOPLE, SIDE_A, tokens("a", "a"), *[damaged(p, f"b{p}") for p in shift]]
+    sides = " union all ".join(
+        f"select id + {by} as id, id as true_id, {p} as percent, error_type, {', '.join(ATTRS)} from b{p}" for p, by in shift.items()
+    )
+    parts += [f"b as ({sides})", tokens("b", "b")]
+    selects = []
+    for config in GRID:
+        n = config.number
+        if config.percent == 2:  # the first of the three that share an encoding
+            parts += [
+                f"a{n}_tokens as (select * from a_tokens)", bits(f"a{n}", config),
+                f"b{n}_tokens as (select * from b_tokens)", bits(f"b{n}", config),
+                linked(f"l{n}", f"a{n}_bits", f"b{n}_bits", "b", "true_id"),
+            ]
+            shared = n
+        selects.append(
+            f"select {n} as config_id, true_id as id, error_type, best_a, round(dice, 6) as dice, hit from l{shared}_links "
+            f"where percent = {config.percent}"
+        )
+    return query(" union all ".join(selects), *parts, recursive=True)
+
+
+LINE = "l_returnflag, l_orderkey, l_linenumber, l_quantity"
+
+
+def tied_slices() -> str:
+    total = "l_returnflag nulls first, l_orderkey nulls first, l_linenumber nulls first, l_quantity nulls first"
+    return (
+        f"with n as (select {LINE}, row_number() over (order by {total}) - 1 as i from lineitem) "
+        f"select case when i < 50 then 'head' else 'middle' end as slice, {LINE} from n where i < 50 or i between 12000 and 12099"
+    )
+
+
 def all_sql() -> dict[str, str]:
-    run = synthetic_run(c.MAIN)
+    run = synthetic_run(MAIN)
     curve = [*run, CURVE]
-    low, high = c.SLICE
+    low, high = SLICE
     everyone = "select y.id as id, x.id as id_a from a x join l_first f on f.id = x.id and f.id_a = x.id cross join b y"
     two_samples = (
-        f"s1 as ({sample(c.BASE_SEED, 'id, name, state, city_code')})",
-        f"s2 as ({sample(c.GUARDIAN_SEED, 'id, name, state, city_code')})",
+        f"s1 as ({sample(BASE_SEED, 'id, name, state, city_code')})",
+        f"s2 as ({sample(GUARDIAN_SEED, 'id, name, state, city_code')})",
     )
     zipped = """
 z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
       from (select *, row_number() over (order by id) - 1 as ordinal from s1) x
       join (select *, row_number() over (order by id) - 1 as ordinal from s2) y using (ordinal))"""
-    weights = c.WEIGHTS
     return {
         "people_base": query(
             "select *, cast(city_code as integer) as code from people where birth_date is not null", PEOPLE
@@ -458,26 +591,27 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
             PEOPLE, grid_rows(), share_groups(),
         ),
         "stratified_sample": query(
-            f"select 1 as sample, * from ({sample(c.BASE_SEED, 'id, state, name')}) union all "
-            f"select 2, * from ({sample(c.GUARDIAN_SEED, 'id, state, name')})", PEOPLE,
+            f"select 1 as sample, * from ({sample(BASE_SEED, 'id, state, name')}) union all "
+            f"select 2, * from ({sample(GUARDIAN_SEED, 'id, state, name')})", PEOPLE,
         ),
         "error_buckets": query(
-            f"select {bucket(draw('group', 'id'), weights.groups)} as error_group, "
-            f"{bucket(draw('suppress', 'id'), weights.suppress)} as suppress_choice, "
-            f"{bucket(draw('words', 'id'), weights.words)} as word_choice, count(*) as records from people group by all",
+            f"select {bucket(draw('group', 'id'), group_shares(5))} as error_group, "
+            f"{bucket(draw('suppress', 'id'), SUPPRESS)} as suppress_choice, "
+            f"{bucket(draw('words', 'id'), WORDS)} as word_choice, count(*) as records from people group by all",
             PEOPLE,
         ),
         **damage_queries(),
-        "corrupt_all": query("select * from b", PEOPLE, damaged(weights)),
-        "error_types": query("select distinct error_type from b order by 1", PEOPLE, damaged(weights)),
+        "corrupt_all": query("select * from b", PEOPLE, damaged(5)),
+        "error_types": query("select distinct error_type from b order by 1", PEOPLE, damaged(5)),
         "bigrams": query(
             "select id, attr_idx, token, count(*) as times from p_tokens group by all", PEOPLE, tokens("p", "people")
         ),
-        "hash_double": hash_query(3, False),
-        "hash_enhanced": hash_query(20, True),
-        "encode_abf": encode_query(c.ABF_RUN),
-        "encode_clk": encode_query(c.MAIN),
-        "encode_rlb": encode_query(c.RLB_RUN),
+        "hash_double": hash_query(3),
+        "hash_enhanced": hash_query(20, "enhanced"),
+        "hash_triple": hash_query(3, "triple"),
+        "encode_abf": encode_query(ABF_RUN),
+        "encode_clk": encode_query(MAIN),
+        "encode_rlb": encode_query(RLB_RUN),
         "encode_block30": query(
             "select id, cast(bit_or(cast(1 as bigint) << pos) as bigint) as block from p_tokens join book using (token) "
             "group by id",
@@ -486,27 +620,27 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
         ),
         "dense_filter": query(
             "select p.id, string_agg(case when b.bit is null then '0' else '1' end, '' order by t.i) as filter "
-            f"from people p cross join range(0, {c.MAIN.size}) t(i) left join p_bits b on b.id = p.id and b.bit = t.i "
-            "group by p.id", PEOPLE, tokens("p", "people"), bits("p", c.MAIN),
+            f"from people p cross join range(0, {MAIN.size}) t(i) left join p_bits b on b.id = p.id and b.bit = t.i "
+            "group by p.id", PEOPLE, tokens("p", "people"), bits("p", MAIN),
         ),
         "tree_first_split": first_splits(1),
         "tree_two_levels": first_splits(2),
         "tree_leaves": query(
-            "select id, path as node_path from t_leaf", PEOPLE, SIDE_A, tokens("a", "a"), bits("a", c.MAIN),
+            "select id, path as node_path from t_leaf", PEOPLE, SIDE_A, tokens("a", "a"), bits("a", MAIN),
             tree("t", "a_bits", None), recursive=True,
         ),
         "tree_splits": query(
             "select path as node_path, arg_min(bit, abs(k - n / 2.0) * 100000 + bit) as bit from ("
             "select path, bit, count(*) as k from inner_rows join a_bits using (id) group by path, bit) "
             "join (select path, count(*) as n from inner_rows group by path) using (path) where k < n group by path",
-            PEOPLE, SIDE_A, tokens("a", "a"), bits("a", c.MAIN), tree("t", "a_bits", None),
+            PEOPLE, SIDE_A, tokens("a", "a"), bits("a", MAIN), tree("t", "a_bits", None),
             "inner_rows as (select id, substr(path, 1, i) as path "
             "from (select id, path, unnest(range(0, length(path))) as i from t_leaf))", recursive=True,
         ),
         "link_exhaustive": query(
             "select b.id, error_type, -top.r as best_a, round(top.d, 6) as dice, "
             "cast(coalesce(-top.r = b.id, false) as integer) as hit from b left join l_best using (id)",
-            PEOPLE, SIDE_A, damaged(weights), tokens("a", "a"), bits("a", c.MAIN), tokens("b", "b"), bits("b", c.MAIN),
+            PEOPLE, SIDE_A, damaged(5), tokens("a", "a"), bits("a", MAIN), tokens("b", "b"), bits("b", MAIN),
             same_filters("l", "a_bits"), scored("l", "a_bits", "b_bits", everyone),
         ),
         "link_tree": query(
@@ -525,21 +659,51 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
         "hit_rate": query("select round(avg(hit), 6) as hit_rate from l_links", *run, recursive=True),
         "pair_verdicts": query("select id, VP, FP, VN, FN from verdicts", *curve, verdicts(None), recursive=True),
         "report_by_error": query(
-            f"select {ratios(c.MAIN)}, {number(weights.error_share)} as porcentagem_erro, error_type as \"Tipo_erro\", "
+            f"select {ratios(MAIN)}, {number(0.25)} as porcentagem_erro, error_type as \"Tipo_erro\", "
             'cast(sum(registros) over () as bigint) as "tam_baseB" from sums',
             *curve, verdicts("error_type"), sums("error_type"), recursive=True,
         ),
         "report_gold": gold_query(),
         "sweep_links": sweep_query(),
+        "sweep_from_file": grid_query(),
+        "link_tree_triple": query(
+            "select id, error_type, best_a, round(dice, 6) as dice, hit from l_links", *synthetic_run(TRIPLE_RUN), recursive=True
+        ),
+        "report_by_error_triple": query(
+            f"select {ratios(TRIPLE_RUN)}, {number(0.25)} as porcentagem_erro, error_type as \"Tipo_erro\", "
+            'cast(sum(registros) over () as bigint) as "tam_baseB" from sums',
+            *synthetic_run(TRIPLE_RUN), CURVE, verdicts("error_type"), sums("error_type"), recursive=True,
+        ),
+        "link_repeated_ids": query(
+            'select "check" as id, best_a, round(dice, 6) as dice, hit from l_links',
+            *on_sides(REPEATED_A, MAIN, [damaged(5, "d"), REPEATED_B], '"check"'), recursive=True,
+        ),
+        "candidate_pairs": query(
+            "select id, id_a, round(dice, 6) as dice from l_cand",
+            *on_sides(COPIES_A, MAIN, [damaged(5)], "id", False), recursive=True,
+        ),
+        "pair_verdicts_copies": query(
+            "select id, VP, FP, VN, FN from verdicts", *on_sides(COPIES_A, MAIN, [damaged(5)]), CURVE, verdicts(None), recursive=True
+        ),
+        "report_by_error_copies": query(
+            f"select {ratios(MAIN)}, {number(0.25)} as porcentagem_erro, error_type as \"Tipo_erro\", "
+            'cast(sum(registros) over () as bigint) as "tam_baseB" from sums',
+            *on_sides(COPIES_A, MAIN, [damaged(5)]), CURVE, verdicts("error_type"), sums("error_type"), recursive=True,
+        ),
+        "slice_ties": tied_slices(),
+        "folder_scan": query("select id, name, state as table_name from people", PEOPLE),
+        "append_results": query(
+            "select error_type as \"Tipo_erro\", id, state from b union all select error_type, id, state from b", PEOPLE, damaged(5)
+        ),
         "zip_join": query("select ordinal, id, name, id_2, guardian from z", PEOPLE, *two_samples, zipped),
         "synthetic_dates": query(
-            f"select r.id, {inverse('r.id', c.SEED)} as data_nasc from {at_draw('people', 'r.id', c.SEED)}",
+            f"select r.id, {inverse('r.id', SEED)} as data_nasc from {at_draw('people', 'r.id', SEED)}",
             PEOPLE, QUANTILES,
         ),
         "synthetic_base": query(
             f'select r.ordinal as "ID", cast(x.code as integer) as "COD_MUNICIPIO", r.name as "NOME", '
-            f'r.guardian as "NOME_RESPONSAVEL", {inverse("r.ordinal", c.BASE_SEED)} as data_nasc '
-            f"from {at_draw('z', 'r.ordinal', c.BASE_SEED)} join cities x on x.city = r.state",
+            f'r.guardian as "NOME_RESPONSAVEL", {inverse("r.ordinal", BASE_SEED)} as data_nasc '
+            f"from {at_draw('z', 'r.ordinal', BASE_SEED)} join cities x on x.city = r.state",
             PEOPLE, QUANTILES, CITIES, *two_samples, zipped,
         ),
     }

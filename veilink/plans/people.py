@@ -65,15 +65,35 @@ def side_b(people: DataFrame) -> DataFrame:
 GOLD_COLUMNS = ["nome", "data_nasc", "sexo", "mae", "municipio"]
 
 
-def gold_sides(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A and B in the gold shape: five attributes, B with other ids and the true partner in ``check``."""
-    shaped = people.select(
-        "id",
-        F.col("name").alias("nome"),
-        F.col("birth_date").alias("data_nasc"),
-        F.when(F.col("id") % 2 == 0, "F").otherwise("M").alias("sexo"),
-        F.col("guardian").alias("mae"),
-        F.col("city_code").alias("municipio"),
-    )
-    b = shaped.withColumn("check", F.col("id")).withColumn("id", F.col("id") + GOLD_OFFSET)
-    return side_a(shaped), b
+def gold_sides(people: DataFrame, damaged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A and B in the gold shape: five attributes, B damaged, with other ids and the true partner in ``check``."""
+
+    def shaped(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "id",
+            F.col("name").alias("nome"),
+            F.col("birth_date").alias("data_nasc"),
+            F.when(F.col("id") % 2 == 0, "F").otherwise("M").alias("sexo"),
+            F.col("guardian").alias("mae"),
+            F.col("city_code").alias("municipio"),
+        )
+
+    b = shaped(damaged).withColumn("check", F.col("id")).withColumn("id", F.col("id") + GOLD_OFFSET)
+    return side_a(shaped(people)), b
+
+
+def with_copies(people: DataFrame) -> DataFrame:
+    """A with exact copies of some records under other ids."""
+    copies = people.where(F.col("id") % UNPARTNERED_OF == 7).withColumn("id", F.col("id") + GOLD_OFFSET)
+    return side_a(people).unionByName(copies)
+
+
+def with_repeated_ids(people: DataFrame) -> DataFrame:
+    """A with a second, later record (``ord``) under some ids: name and guardian exchanged."""
+    first = side_a(people).withColumn("ord", F.col("id") * 2)
+    later = first.where(F.col("id") % UNPARTNERED_OF == 3).withColumn("ord", F.col("ord") + 1)
+    return first.unionByName(exchanged(later))
+
+
+def exchanged(people: DataFrame) -> DataFrame:
+    return people.withColumns({"name": F.col("guardian"), "guardian": F.col("name")})

@@ -6,8 +6,11 @@ executors, and its file statistics let the planner choose join strategies by rea
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -16,18 +19,49 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only if none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, or by the context.
+
+    A folder of our own is made only where driver and executors are one process (tests): elsewhere each host
+    would write to its own disk, so a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="veilink-"))
     return context.getCheckpointDir()
 
 
+_runs: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/veilink/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/veilink/{label}-{uuid.uuid4().hex}"
+    for paths in _runs:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every intermediate table written within it.
+
+    For callers who have written or collected their results by then; frames that still read these tables fail
+    afterwards.
+    """
+    paths: list[str] = []
+    _runs.append(paths)
+    try:
+        yield
+    finally:
+        _runs.remove(paths)
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @dataclass(frozen=True)
@@ -38,9 +72,13 @@ class Stored:
     rows: int
     seen: dict
 
+    def fits(self, row_bytes: int) -> bool:
+        """Whether the counted rows fit the bound of a broadcast."""
+        return self.rows * row_bytes <= BROADCAST_BYTES
+
     def small_side(self, row_bytes: int) -> DataFrame:
         """The table, marked for broadcast if its counted rows fit the bound; else left to the planner."""
-        return F.broadcast(self.frame) if self.rows * row_bytes <= BROADCAST_BYTES else self.frame
+        return F.broadcast(self.frame) if self.fits(row_bytes) else self.frame
 
 
 def store(df: DataFrame, label: str, **figures: Column) -> Stored:

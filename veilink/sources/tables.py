@@ -18,17 +18,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_folder(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
-    """All delimited files of a folder that share a schema, with the file's stem as ``table``."""
-    stem = F.regexp_replace(F.col("_metadata.file_name"), "[.][^.]*$", "")
-    return read_delimited(spark, path, schema, sep).select("*", stem.alias("table"))
+def read_folder(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", by: str = "file") -> DataFrame:
+    """All delimited files of a folder that share a schema, with their file's stem as ``table``.
+
+    ``by='folder'`` names the table after the folder that holds the file, for tables of several part files.
+    """
+    if by == "folder":
+        name = F.try_url_decode(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]*$", 1))
+    else:
+        name = F.regexp_replace(F.col("_metadata.file_name"), "[.][^.]*$", "")
+    rows = read_delimited(spark, path, schema, sep).select("*", name.alias("table"))
+    return rows
 
 
-def folder_tables(spark: SparkSession, path: str, sep: str = ",") -> dict[str, DataFrame]:
-    """One frame per delimited file of a folder, by file stem; only file names reach the driver."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect()
-    paths = sorted(row.path for row in listing)
-    return {p.rsplit("/", 1)[1].removesuffix(".csv"): read_delimited(spark, p, sep=sep) for p in paths}
+def folder_tables(spark: SparkSession, path: str, schema: T.StructType | str, names: list[str], sep: str = ",") -> dict[str, DataFrame]:
+    """The named tables of a folder, each a part of the one scan: no file list reaches the driver."""
+    rows = read_folder(spark, path, schema, sep)
+    return {name: rows.where(F.col("table") == name).drop("table") for name in names}
 
 
 def write_base(base: DataFrame, path: str, fmt: str = "csv") -> None:
