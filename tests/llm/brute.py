@@ -41,3 +41,37 @@ def suffix(rows, length=400):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         found[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return found
+
+
+def jaccard(rows, size=5, percent=75):
+    """rows: (doc_id, text) -> {doc_id: (set size, smallest linked id)}"""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets[i] = {tuple(w[p : p + size]) for p in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = [i for i in sets if i is not None]
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), None if i is None else root(i)) for i, s in sets.items()}
+
+
+def rules(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)"""
+    text = text or ""
+    w = WORD.findall(text)
+    windows = [tuple(w[p : p + 3]) for p in range(len(w) - 2)]
+    hit = {p + o for p, x in enumerate(windows) if windows.count(x) > 1 for o in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
