@@ -16,7 +16,8 @@ from veilink.sources.store import fresh_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser.judged(docs, labels, keep=docs.columns).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    return kneser.judged(whole, labels, "_id", "_text", "_lang", keep=["_row"]).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
