@@ -304,15 +304,13 @@ def test_classifier(spark):
 
 
 def test_search(spark):
-    rows = [(i, t) for i, t in awkward(9, 200)] + [(40, "w1 w2 w3"), (40, "w1 w2 w3")]
-    got = topk.search(frame(spark, [r for r in rows if r[0] != 40] + [(40, "w1 w2 w3")]), k=4, every=10).collect()
+    rows = [r for r in awkward(9, 150) if r[0] != 40] + [(40, "w1 w2 w3")]
+    got = topk.search(frame(spark, rows), k=4, every=10).collect()
     con = duckdb.connect()
-    table = [(i, t) for i, t in rows if i != 40] + [(40, "w1 w2 w3")]
     con.execute("create table documents (doc_id bigint, text varchar)")
-    con.executemany("insert into documents values (?, ?)", table)
-    want = con.execute(topk.SQL.replace("% 20", "% 10").replace("<= 10", "<= 4").replace("FROM ranked", "FROM ranked")).fetchall()
-    ids = {r[0] for r in want}
-    same([(r.query_id, r.rank, r.doc_id, r.score) for r in got], [r for r in want if r[0] in ids and r[2] is not None])
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(topk.SQL.replace("% 20", "% 10").replace("<= 10", "<= 4")).fetchall()
+    same([(r.query_id, r.rank, r.doc_id, r.score) for r in got], want)
 
 
 def test_search_in_small_blocks(spark, monkeypatch):
