@@ -108,6 +108,10 @@ def test_scratch_folder(spark, tmp_path):
         path = kept.frame.inputFiles()[0]
         assert kept.rows == 5
     assert not (tmp_path.__class__(path.removeprefix("file:")).exists())
+    again = store.store(spark.range(5).toDF("x"), "try")
+    path = again.frame.inputFiles()[0]
+    again.drop()
+    assert not (tmp_path.__class__(path.removeprefix("file:")).exists())
 
 
 def test_a_cluster_needs_a_shared_folder():

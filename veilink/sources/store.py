@@ -58,10 +58,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _runs.remove(paths)
-        jvm = spark.sparkContext._jvm
         for path in paths:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @dataclass(frozen=True)
@@ -71,6 +74,11 @@ class Stored:
     frame: DataFrame
     rows: int
     seen: dict
+    path: str
+
+    def drop(self) -> None:
+        """Deletes the table.  For its maker, once everything that reads it has been written."""
+        _delete(self.frame.sparkSession, self.path)
 
     def fits(self, row_bytes: int) -> bool:
         """Whether the counted rows fit the bound of a broadcast."""
@@ -88,4 +96,4 @@ def store(df: DataFrame, label: str, **figures: Column) -> Stored:
     watch = Observation()
     df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()]).write.parquet(path)
     seen = watch.get
-    return Stored(spark.read.schema(df.schema).parquet(path), seen["rows"], seen)
+    return Stored(spark.read.schema(df.schema).parquet(path), seen["rows"], seen, path)
