@@ -109,7 +109,10 @@ def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, tr
     """
     # An id that several records of A share may stand behind several others.
     stands_for = aliases.groupBy("config_id", F.col("member").alias(truth)).agg(F.collect_set("id_a").alias("stand_ins"))
-    known = matches.join(stands_for, ["config_id", truth], "left").join(F.broadcast(summary), "config_id")
+    # Rows without a known partner need no look-up, and would all meet under the null key.
+    with_truth = matches.where(F.col(truth).isNotNull()).join(stands_for, ["config_id", truth], "left")
+    known = with_truth.unionByName(matches.where(F.col(truth).isNull()), allowMissingColumns=True)
+    known = known.join(F.broadcast(summary), "config_id")
     above = F.coalesce(F.col("dice_f") >= F.col("threshold"), F.lit(False))
     zero = F.lit(0).cast("bigint")
 

@@ -31,15 +31,20 @@ class Encoded:
         return build_tree(self.distinct, self.size, **options)
 
 
-def corrupted_b(people: DataFrame, configs: Sequence[LinkConfig], roles: Roles = Roles()) -> DataFrame:
-    """B per configuration.  Configurations with the same error weights share one damaged copy."""
+def _damaged(people: DataFrame, configs: Sequence[LinkConfig], roles: Roles) -> list[tuple[DataFrame, list[int]]]:
+    """A damaged copy of B per setting of errors, with the configurations that share it."""
     plans: dict = {}
     for c in configs:
         plans.setdefault((c.weights, c.seed), []).append(c.config_id)
-    parts = []
-    for (weights, seed), numbers in plans.items():
-        damaged = inject_errors(people, weights, seed, roles)
-        parts.append(damaged.withColumn("config_id", F.explode(F.array(*[F.lit(n) for n in numbers]))))
+    return [(inject_errors(people, weights, seed, roles), numbers) for (weights, seed), numbers in plans.items()]
+
+
+def corrupted_b(people: DataFrame, configs: Sequence[LinkConfig], roles: Roles = Roles()) -> DataFrame:
+    """B per configuration.  Configurations with the same error weights share one damaged copy."""
+    parts = [
+        damaged.withColumn("config_id", F.explode(F.array(*[F.lit(n) for n in numbers])))
+        for damaged, numbers in _damaged(people, configs, roles)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -52,15 +57,17 @@ def encode_sides(
     keep_b: list[str],
     hash_mode: str = "literal",
     last_of_id: bool = False,
+    texts_b: DataFrame | None = None,
 ) -> Encoded:
     """``a`` needs ``id`` (and ``ord`` if the order of A is not that of its ids), of any type with an order.
 
+    ``texts_b`` holds B's values once, where ``b`` repeats them by configuration: bigrams are gathered from it.
     Records of A whose ids repeat all stand, unless ``last_of_id`` keeps the last one, by ``ord``, of each id.
     """
     if last_of_id and "ord" not in a.columns:
         raise ValueError("the last record of an id is told by the column ord")
     configs = [c.with_attrs(len(columns_a)) for c in configs]
-    book = codebook([a, b], [columns_a, columns_b], configs, hash_mode)
+    book = codebook([a, b if texts_b is None else texts_b], [columns_a, columns_b], configs, hash_mode)
     keep_a = ["id"] + (["ord"] if "ord" in a.columns else [])
     filters_a = encode(a, columns_a, configs, book, keep_a)
     stored_a = store(last_per_id(filters_a) if last_of_id else filters_a, "encoded-a")
@@ -129,7 +136,7 @@ class Links:
 
 
 def _links(
-    a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str], options: dict
+    a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str], options: dict, texts_b: DataFrame
 ) -> Links:
     """``b`` carries ``config_id`` where it differs by configuration; it is searched under the shared index."""
     index_of = shared_index(configs)
@@ -137,7 +144,7 @@ def _links(
     runs = with_configs(b, configs)
     table = ", ".join(f"{run}, {index}" for run, index in index_of.items())
     runs = runs.withColumn("run_id", F.col("config_id")).withColumn("config_id", F.expr(f"map({table})[config_id]"))
-    encoded = encode_sides(a, runs, columns, columns, indexed, ["run_id"] + keep, last_of_id=options["last_of_id"])
+    encoded = encode_sides(a, runs, columns, columns, indexed, ["run_id"] + keep, last_of_id=options["last_of_id"], texts_b=texts_b)
     tree = encoded.index(subtree_rows=options["subtree_rows"], min_levels=options["min_levels"])
     found = search_tree(tree, encoded.b, ["run_id"] + keep)
     matches = found.drop("config_id").withColumnRenamed("run_id", "config_id")
@@ -164,7 +171,8 @@ def link_synthetic(
     b = corrupted_b(b_clean, configs, roles).withColumnRenamed(roles.key, "id").withColumn("truth", F.col("id"))
     keep = ["id", "truth", "error_type"] + (["has_partner"] if "has_partner" in b_clean.columns else [])
     a = a.withColumnRenamed(roles.key, "id")
-    return _links(a, b, roles.attributes, configs, keep, _options(last_of_id, subtree_rows, min_levels))
+    once = reduce(DataFrame.unionByName, [damaged.select(*roles.attributes) for damaged, _ in _damaged(b_clean, configs, roles)])
+    return _links(a, b, roles.attributes, configs, keep, _options(last_of_id, subtree_rows, min_levels), once)
 
 
 def link_gold(
@@ -181,7 +189,7 @@ def link_gold(
     """A against B with a gold column naming the true partner; nothing is damaged."""
     a, b = (side.withColumnRenamed(key, "id") for side in (a, b))
     b = b.withColumn("truth", F.col(check))
-    return _links(a, b, columns, configs, ["id", "truth"], _options(last_of_id, subtree_rows, min_levels))
+    return _links(a, b, columns, configs, ["id", "truth"], _options(last_of_id, subtree_rows, min_levels), b)
 
 
 def link_exhaustive(a: DataFrame, b: DataFrame, columns: list[str], configs: Sequence[LinkConfig], keep: list[str]) -> DataFrame:
