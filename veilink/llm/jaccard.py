@@ -97,7 +97,9 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     bits = chunks.range_bits(base.seen["bytes"] / 6)
     answers = chunks.ask(base.frame, keys_of, bits, 4, _spread)
-    return store(chunks.told(base.frame, answers, use, SETS), "sets").frame
+    sets = store(chunks.told(base.frame, answers, use, SETS), "sets").frame
+    base.drop()
+    return sets
 
 
 def _short_lists(sets: DataFrame, percent: int, *more: str) -> DataFrame:

@@ -31,7 +31,7 @@ from veilink.llm import chunks
 LENGTH = 2048
 END = 1
 GROUP_DOCUMENTS = 8192
-CACHED_WORDS = 1_000_000
+CACHED_WORDS, CACHED_PIECES = 150_000, 250_000
 TOKENIZER = "word_bpe_49k.json"
 
 # Fixed value: how the vocabulary splits lower-cased text.
@@ -89,16 +89,14 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            rules = json.load(file)
-        split = rules.get("pre_tokenizer") or {}
+        rules, split = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
         # the splitting that the fast way repeats; special tokens in a text are the library's work
         self.known = (
-            [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            [n.get("type") for n in rules.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and [p.get("type") for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]
             and split["pretokenizers"][0]["pattern"].get("Regex") == SPLIT
         )
-        self.special = {t["content"].encode() for t in rules.get("added_tokens", [])}
+        self.special = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.pieces = Pieces(self.tokenizer.model)
 
     def __missing__(self, word: bytes) -> bytes:
@@ -117,7 +115,7 @@ class Encoder(dict):
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        if len(self.pieces) > CACHED_WORDS:
+        if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
         return b"".join(map(self.__getitem__, text.split()))
 

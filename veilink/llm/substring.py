@@ -142,6 +142,8 @@ def remove_repeats(
             chunks.told(table, answers, narrow(length), STATE), f"passages-{length}",
             left=F.count("chunk"), bytes=F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)),
         )
+        if not finished:
+            base.drop()  # all that follows reads the states
         finished.append(state.frame.where(F.col("chunk").isNull()).select(*chunks.names(RESULT)))
         table = state.frame.where(F.col("chunk").isNotNull()).select(*chunks.names(chunks.CHUNK_SCHEMA))
         if not state.seen["left"]:

@@ -140,6 +140,7 @@ def remove_repeats(
         chunks.told(base.frame, answers, narrow, STATE), "bytes-seeded",
         bytes=F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)),
     )
+    base.drop()
     out = state.frame.where(F.col("chunk").isNull()).select(*chunks.names(RESULT))
     if state.seen["bytes"]:
         table = state.frame.where(F.col("chunk").isNotNull()).select(*chunks.names(chunks.CHUNK_SCHEMA))
