@@ -300,6 +300,20 @@ def test_classifier(spark):
     assert len(nothing) == 424 and all(r.kept for r in nothing)
 
 
+def test_no_threshold_from_fitted_texts(spark):
+    """Fewer trusted documents than the fitting sample takes: clean unlabelled texts of large and small languages stay."""
+    rng = random.Random(16)
+    rows = []
+    for lang, n in (("x", 160), ("y", 60), ("z", 24)):
+        known = [f"{lang}{i}" for i in range(3000)]
+        rows += [(len(rows) + i, " ".join(rng.choices(known, [1 / (1 + j) for j in range(3000)], k=80)), lang) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i % 2], "doc_id long, quality int, toxic int")
+    got = kneser.judged(docs, labels).join(docs.select("doc_id"), "doc_id").collect()
+    for lang, n in (("x", 80), ("y", 30), ("z", 12)):
+        assert sum(r.kept for r in got if r.lang == lang and not r.doc_id % 2) >= 0.95 * n
+
+
 # --- search
 
 
