@@ -314,6 +314,20 @@ def test_no_threshold_from_fitted_texts(spark):
         assert sum(r.kept for r in got if r.lang == lang and not r.doc_id % 2) >= 0.95 * n
 
 
+def test_few_toxic_words_in_clean_text(spark):
+    """A handful of words in ordinary long text, as in the labelled toxic documents, is caught; clean texts stay."""
+    rng, known, toxic = random.Random(17), [f"h{i}" for i in range(500)], [f"insult{i}" for i in range(8)]
+    rows = [(i, rng.choices(known, [1 / (1 + j) for j in range(500)], k=400)) for i in range(400)]
+    for i, text in rows[:120]:
+        for _ in range(4):
+            text[rng.randrange(400)] = rng.choice(toxic)
+    docs = frame(spark, [(i, " ".join(t)) for i, t in rows])
+    labels = spark.createDataFrame([(i, 1, int(i < 120)) for i in range(400) if i % 2], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in kneser.judged(docs, labels).collect()}
+    assert sum(not got[i] for i in range(0, 120, 2)) >= 40
+    assert sum(got[i] for i in range(120, 400, 2)) >= 133
+
+
 # --- search
 
 
