@@ -347,6 +347,22 @@ def test_search_in_small_blocks(spark, monkeypatch):
     test_search(spark)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_search_with_null_and_repeated_ids(spark, monkeypatch, small):
+    """Null ids that rank first take no place, rows of one id are one query and one document, as in SQL."""
+    for name, value in {"BLOCK": 8, "QUERIES": 3, "FREQUENT": 20, "STEP": 50, "SHARD_DOCUMENTS": 40, "GROUP_QUERIES": 4}.items() if small else ():
+        monkeypatch.setattr(topk, name, value)
+    rows = awkward(9, 150)
+    rows += [(40, "w1 w2 w3"), (40, rows[50][1]), (47, rows[30][1]), (47, None)]
+    rows += [(None, rows[i][1]) for i in (20, 20, 20, 20, 20, 30, 30, 30, 30, 30, 50, 60)]
+    got = topk.search(frame(spark, rows), k=4, every=10).collect()
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(topk.SQL.replace("% 20", "% 10").replace("<= 10", "<= 4")).fetchall()
+    same([(r.query_id, r.rank, r.doc_id, r.score) for r in got], want)
+
+
 # --- empty tables
 
 
