@@ -1,8 +1,8 @@
 """From documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 Every stage works on all rows its predecessor kept.  All but the last return the columns of documents.  Defined results:
-a null text is empty, a null id is kept and never counts as a copy, rows that repeat an id are one document after the
-second stage.
+a null text is empty, a null id is kept and never counts as a copy; of rows that repeat an id those with near copies among
+earlier rows go in the second stage, other texts of the id stay.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilink.llm import jaccard, kneser, mixing, packing, substring
-from veilink.sources.store import fresh_path
+from veilink.sources.store import fresh_path, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each similarity class: the one with the smallest id."""
-    classes = jaccard.similarity_classes(docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each similarity class: the one with the smallest id; rows that repeat an id are told apart by their contents."""
+    counts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeats = store(counts.select("doc_id", F.lit(True).alias("_again")), "repeated-ids")
+    if repeats.rows:
+        contents = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+        met = docs.join(repeats.small_side(64), "doc_id", "left")
+        keyed = met.withColumn("_key", F.when(F.col("_again"), contents).otherwise(F.col("doc_id"))).drop("_again")
+        classes = jaccard.similarity_classes(keyed, id_col="_key").withColumnRenamed("doc_id", "_key")
+        ids = keyed.select("_key", "doc_id").where("_key IS NOT NULL").distinct()
+        order = F.struct("doc_id", "_key")
+        first = classes.join(ids, "_key").groupBy("component_id").agg(F.min_by("_key", order).alias("_key")).select("_key")
+        kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+    else:
+        first = jaccard.similarity_classes(docs).where("doc_id = component_id").select("doc_id")
+        kept = docs.join(first, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 

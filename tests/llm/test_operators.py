@@ -74,6 +74,13 @@ def test_bridged_classes(spark):
     assert got[11][1] == 0
 
 
+def test_repeated_id_keeps_the_links_of_all_its_texts(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, text("a")), (7, text("a")), (7, text("b") + " more"), (9, text("b")), (11, text("c"))]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(frame(spark, rows)).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

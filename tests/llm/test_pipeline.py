@@ -42,6 +42,14 @@ def test_one_of_each_class_stays(spark, docs):
     assert got.count(None) == 2
 
 
+def test_differing_texts_of_an_id_stay(spark, docs):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(3, text("a")), (7, text("a")), (7, text("b")), (7, text("c")), (7, text("c")), (9, text("b") + " more"), (None, text("a"))]
+    table = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], docs.schema).repartition(3)
+    got = [(r.doc_id, r.text) for r in stage("near_duplicates")(spark, table, SMALL).collect()]
+    assert sorted(got, key=repr) == sorted([(3, text("a")), (7, text("b")), (7, text("c")), (None, text("a"))], key=repr)
+
+
 def test_passages_are_cut(spark, docs):
     got = {r.doc_id: r for r in stage("repeated_passages")(spark, docs.where("doc_id >= 100 AND doc_id < 200"), SMALL).collect()}
     before = {r.doc_id: r for r in docs.collect()}

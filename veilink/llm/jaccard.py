@@ -17,7 +17,8 @@ Steps
 Filters by size and by place in the common order apply to every candidate and lose no link.
 
 Defined results: no words or null text: empty set, linked with nothing; fewer words than a shingle: the whole sequence
-as one; a null id is linked with nothing (null class); rows that repeat an id are one node of the link graph.
+as one; a null id is linked with nothing (null class); rows that repeat an id are one node of the link graph, with the
+links of each of their texts.
 """
 
 from __future__ import annotations
@@ -161,15 +162,17 @@ def similarity_classes(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     sets = shared_sets(docs, id_col, text_col, size, percent)
-    able = sets.where("items IS NOT NULL")
+    same = ["n", "k1", "k2"]
+    able = sets.where("items IS NOT NULL").withColumns({"k1": F.xxhash64("items"), "k2": F.hash("items")})
     # equal sets: one representative; a set with shingles of its own has no equal
     own = F.when(F.size("items") < F.col("n"), F.col("doc_id"))
-    keyed = able.select("doc_id", "n", own.alias("own"), F.xxhash64("items").alias("k1"), F.hash("items").alias("k2"))
-    same = ["n", "k1", "k2"]
+    keyed = able.select("doc_id", *same, own.alias("own"))
     kept = keyed.where("own IS NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    twins = keyed.where("own IS NULL").join(kept, same).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).where("a <> b")
+    twins = keyed.where("own IS NULL").join(kept, same).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"), *same).where("a <> b")
     twins = store(twins, "twins").frame
-    reps = store(able.join(twins.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti"), "representatives").frame
+    # only the equal set goes: another text of the same id has links of its own
+    gone = twins.select(F.col("b").alias("doc_id"), *same).distinct()
+    reps = store(able.join(gone, ["doc_id", *same], "left_anti").drop("k1", "k2"), "representatives").frame
 
     lists = _short_lists(reps, percent)
     head = F.min_by(F.struct("doc_id", "n", "place"), "doc_id")
