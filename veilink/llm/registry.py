@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilink.llm import bilinear, jaccard, kneser, mixing, packing, rules, substring, suffix, topk, urls
+from veilink.llm import bilinear, jaccard, kneser, mixing, packing, rules, substring, suffix, tokencount, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "documents"), k=10, every=20, group=F.col("lang"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_ngram_jaccard, op3_quality_rules, op4_url_filters, op5_lm_scoring, op6_substring_dedup,
-        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup, op10_exact_topk,
+        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup, op10_exact_topk, op13_token_counts,
     )
     return {f.__name__: f for f in found}
 
