@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import zlib
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,3 +78,45 @@ def rules(text):
     hit = {p + o for p, x in enumerate(windows) if windows.count(x) > 1 for o in range(3)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+
+def with_repeats(doc_id, text):
+    """The words of a text, for every tenth id by checksum with a period planted."""
+    w = WORD.findall(text or "")
+    if doc_id is None or not w:
+        return w
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[a + (i - a) % p] if i >= a else w[i] for i in range(n)]
+
+
+def runs(w, least=12):
+    """All (start, length, period) of maximal stretches by comparing words at every offset."""
+    code = {}
+    t, found = np.array([code.setdefault(x, len(code)) for x in w], np.int64), {}
+    for q in range(1, len(w) // 2 + 1):
+        same = np.concatenate(([False], t[q:] == t[:-q], [False]))
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if e - s >= q and e - s + q >= least:
+                found.setdefault((s, e + q), q)
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def periods(rows):
+    """rows: (doc_id, text) -> result rows of the registered query"""
+    out = []
+    for i, t in rows:
+        w = with_repeats(i, t)
+        r = runs(w)
+        gone = {k for s, n, q in r for k in range(s + q, s + n)}
+        best = min(r, key=lambda x: (-x[1], x[0], x[2])) if r else None
+        lines = "".join(f"{s},{n},{q}\n" for s, n, q in sorted(r, key=lambda x: (x[0], x[2])))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        out.append((i, len(r), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha(lines), sha(kept)))
+    return out

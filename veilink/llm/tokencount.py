@@ -35,11 +35,11 @@ KEPT_PIECES, KEPT_LENGTH = 400_000, 64
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 # White space and the splitting rule of byte-level vocabularies.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 PARTS = regex.compile(SPLIT)
 CUTS = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
-SETTLED = regex.compile(r"[\x00-՗]*")
+SETTLED = regex.compile(r"[\x00-\u0557]*")
 SPACES = frozenset(regex.findall(rf"[{WHITE}]", "".join(map(chr, range(0x3001)))))
 UNSAFE = 1 << 50
 
