@@ -1,6 +1,7 @@
 """Plain models of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -120,3 +121,32 @@ def periods(rows):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         out.append((i, len(r), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha(lines), sha(kept)))
     return out
+
+
+def resample(rows, target, percent=10, least=20, buckets=10000, most=1, seed=2024):
+    """rows: (doc_id, text), target: texts -> result rows (doc_id, n_features, weight, score, rank)"""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, most + 1) for i in range(len(w) - n + 1)]
+
+    s, t = [0] * buckets, [0] * buckets
+    for count, texts in ((s, [x for _, x in rows]), (t, target)):
+        for x in texts:
+            for b in features(x)[1]:
+                count[b] += 1
+    gain = [math.floor(1000 * math.log((y + 1.0) * (sum(s) + buckets) / ((x + 1.0) * (sum(t) + buckets)))) for x, y in zip(s, t)]
+    out = []
+    for i, x in rows:
+        n, f = features(x)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        score = None
+        if i is not None:
+            h = int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:8], 16)
+            score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append((n, i, len(f), weight, score))
+    drawn = sorted((r for r in out if r[1] is not None and r[0] >= least), key=lambda r: (-r[4], r[1], r[2], r[3]))
+    k = percent * len(drawn) // 100
+    ranked = [(*r[1:], at + 1 if at < k else None) for at, r in enumerate(drawn)]
+    return ranked + [(*r[1:], None) for r in out if r[1] is None or r[0] < least]

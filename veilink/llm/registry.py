@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilink.llm import bilinear, jaccard, kneser, mixing, packing, periods, rules, substring, suffix, tokencount, topk, urls
+from veilink.llm import bilinear, importance, jaccard, kneser, mixing, packing, periods, rules, substring, suffix, tokencount, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "documents"), k=10, every=20, group=F.col("lang"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.with_repeats(_table(spark, sf_dir, "documents"))))
 
@@ -66,11 +70,11 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_packing, op2_ngram_jaccard, op3_quality_rules, op4_url_filters, op5_lm_scoring, op6_substring_dedup,
-        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup, op10_exact_topk, op12_periodic_runs, op13_token_counts,
+        op7_source_mixing, op8_quality_classifier, op9_suffix_dedup, op10_exact_topk, op11_importance_resampling, op12_periodic_runs, op13_token_counts,
     )
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
     """The other operators (packing, similarity classes, models, repeats) have no SQL form; tests hold them to plain models."""
-    return {"op3_quality_rules": rules.SQL, "op4_url_filters": urls.SQL, "op7_source_mixing": mixing.SQL, "op10_exact_topk": topk.SQL}
+    return {"op3_quality_rules": rules.SQL, "op4_url_filters": urls.SQL, "op7_source_mixing": mixing.SQL, "op10_exact_topk": topk.SQL, "op11_importance_resampling": importance.SQL}
