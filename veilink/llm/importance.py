@@ -180,7 +180,7 @@ def resample(
 SQL = r"""
 WITH steps AS (
     SELECT list(c ORDER BY i) AS crc FROM (
-        SELECT i, list_reduce(list_prepend(i, range(8)), (c, j) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
         FROM range(256) AS t(i))
 ), texts AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, 'd' AS side FROM documents
@@ -191,9 +191,9 @@ WITH steps AS (
 ), counted AS (
     SELECT r, side, word, count(*) AS n FROM (SELECT r, side, unnest(w) AS word FROM split) GROUP BY ALL
 ), named AS (
-    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), k ->
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k:
         16 * (instr('0123456789ABCDEF', substr(h, 2 * k + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * k + 2, 1)) - 1)),
-        (c, b) -> xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
     FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM counted), steps
 ), buckets AS (
     SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
@@ -206,8 +206,8 @@ WITH steps AS (
     WHERE side = 'd' GROUP BY r
 ), scored AS (
     SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
-        list_reduce(list_prepend(0, list_transform(range(8), k -> instr('0123456789abcdef', substr(sha256('2024:' || doc_id), k + 1, 1)) - 1)),
-            (c, b) -> c * 16 + b) AS h
+        list_reduce(list_prepend(0, list_transform(range(8), lambda k: instr('0123456789abcdef', substr(sha256('2024:' || doc_id), k + 1, 1)) - 1)),
+            lambda c, b: c * 16 + b) AS h
     FROM split LEFT JOIN means USING (r) WHERE side = 'd'
 ), final AS (
     SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score,
