@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veilink.operators import encode as encoding
 from veilink.operators.corrupt import Roles
 from veilink.operators.encode import codebook, encode
 from veilink.operators.rows import rows_between, with_ordinal
@@ -78,16 +79,30 @@ def test_empty_a_keeps_all_of_b(spark):
     assert all(r.best_a is None and r.dice is None and r.candidates == [] and not r.hit for r in rows)
 
 
-def test_encoding_with_and_without_broadcast(spark, monkeypatch):
-    a = people(spark, 200).withColumn("name", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("name")))
+def test_encoding_by_look_up_and_by_join(spark, monkeypatch):
+    a = people(spark, 200).withColumn("guardian", F.when(F.col("id") % 5 == 0, F.concat(F.lit("Çé 日本 😀"), "guardian")).otherwise(F.col("guardian")))
+    a = a.withColumn("name", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("name")))
     a = a.unionByName(a.where("id < 5")).unionByName(a.where("id = 7").select(*[F.lit(None).cast(t).alias(c) if c != "id" else "id" for c, t in a.dtypes]))
     book = codebook([a], [ATTRS], [CONFIG])
     near = encode(a, ATTRS, [CONFIG], book, ["id"])
-    assert "Exchange hash" not in near._jdf.queryExecution().toString()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "MapInArrow", "Join"))
     near = sorted(near.collect())
-    monkeypatch.setattr(store, "BROADCAST_BYTES", 0)
-    far = sorted(encode(a, ATTRS, [CONFIG], book, ["id"]).collect())
-    assert near == far and len(near) == 206
+    monkeypatch.setattr(encoding, "LETTERS_BYTES", 0)
+    far = codebook([a], [ATTRS], [CONFIG])
+    assert far.letters is None
+    assert near == sorted(encode(a, ATTRS, [CONFIG], far, ["id"]).collect()) and len(near) == 206
+
+
+def test_encoding_of_several_configurations(spark, monkeypatch):
+    """Each configuration has its own look-up; an attribute without any value and bigrams outside the book set no bits."""
+    a = people(spark, 40).withColumn("guardian", F.lit(None).cast("string"))
+    configs = [LinkConfig(3, m=100, k=2, hash="DoubleHash"), LinkConfig(7, m=200, k=3, hash="DoubleHash", encoding="ABF")]
+    book = codebook([a.where("id < 20")], [ATTRS], configs)
+    near = sorted(encode(a, ATTRS, configs, book, ["id"]).collect())
+    monkeypatch.setattr(encoding, "LETTERS_BYTES", 0)
+    far = sorted(encode(a, ATTRS, configs, codebook([a.where("id < 20")], [ATTRS], configs), ["id"]).collect())
+    assert near == far and len(near) == 80
 
 
 def test_slices_share_one_tie_rule(spark):

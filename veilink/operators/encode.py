@@ -2,7 +2,7 @@
 
 A filter is the OR of its bigrams' filters, also for the resampled record-level form (copying bits keeps
 OR).  So each distinct (attribute, bigram) is hashed once into a codebook of packed filters, and a record
-is encoded by joining its bigrams to the codebook and OR-ing fixed-width words within the task that holds the record.
+is encoded by looking its bigrams up there and OR-ing fixed-width words, in one expression per record.
 """
 
 from __future__ import annotations
@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import bitwords, hashing
 from ..functions.draws import unit_draw
-from ..functions.text import with_tokens
+from ..functions.text import PAD, with_tokens
 from ..sources.store import Stored, store
 from ..sources.sweep import CLK, RLB, LinkConfig, config_rows, widest
-from .subtree import or_runs
 
 
 def with_configs(people: DataFrame, configs: Sequence[LinkConfig]) -> DataFrame:
@@ -82,12 +81,41 @@ def token_positions(tokens: DataFrame, configs: Sequence[LinkConfig], mode: str
     return rounds.withColumn("pos", hashing.position(F.col("hash"), F.col("round"), F.col("modulus"), families, mode))
 
 
+LETTERS_BYTES = 32 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class Codebook:
-    """Packed filter of every (config_id, attr_idx, token)."""
+    """Packed filter of every (config_id, attr_idx, token).
+
+    ``letters``, made while the counted rows fit ``LETTERS_BYTES``, is the same in one value, found without a join: an array
+    by configuration and attribute of (first characters, for each of them (second characters, their filters)).  ``places``
+    says where a configuration's attributes begin in it.
+    """
 
     table: Stored
     words: int
+    places: dict[int, int]
+    letters: Stored | None = None
+
+
+def _letters(table: DataFrame, words: int, places: dict[int, int], n_places: int) -> DataFrame:
+    """The codebook as one row; its size is bounded by the caller."""
+    start = F.expr(f"map({', '.join(f'{number}, {place}' for number, place in places.items())})[config_id]")
+    filters = table.select(
+        (start + F.col("attr_idx")).alias("place"), F.substring("token", 1, 1).alias("first"),
+        F.substring("token", 2, 1).alias("second"), bitwords.pack(words).alias("words"),
+    )
+    pairs = F.sort_array(F.collect_list(F.struct("second", "words")))
+    nexts = F.struct(F.array_join("pairs.second", "").alias("chars"), F.col("pairs.words").alias("filters"))
+    by_first = filters.groupBy("place", "first").agg(pairs.alias("pairs")).select("place", "first", nexts.alias("next"))
+    entries = F.sort_array(F.collect_list(F.struct("first", "next")))
+    by_place = by_first.groupBy("place").agg(entries.alias("e")).select(
+        "place", F.struct(F.array_join("e.first", "").alias("chars"), F.col("e.next").alias("nexts")).alias("node")
+    )
+    every = table.sparkSession.range(n_places).select(F.col("id").cast("int").alias("place"))
+    one = every.join(F.broadcast(by_place), "place", "left").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("p"))
+    return one.select(F.col("p.node").alias("letters"))
 
 
 def codebook(
@@ -112,32 +140,57 @@ def codebook(
         bits = bits.withColumnRenamed("src", "bit")
     words = bitwords.word_count(widest(configs))
     book = bits.groupBy("config_id", "attr_idx", "token").agg(*bitwords.or_words("bit", words))
-    return Codebook(store(book, "codebook"), words)
+    table = store(book, "codebook")
+    attributes = max(map(len, columns))
+    places = {c.config_id: at * attributes for at, c in enumerate(configs)}
+    letters = None
+    if table.rows * (64 + 8 * words) <= LETTERS_BYTES:
+        letters = store(_letters(table.frame, words, places, attributes * len(configs)), "letters")
+    return Codebook(table, words, places, letters)
+
+
+def merged_filters(values: list[Column], place: Column, letters: Column, words: int) -> Column:
+    """OR of the filters of all bigrams of the padded values, by look-ups in ``letters``.
+
+    ``place`` is where the first value's filters stand.  A null value has no bigrams; a bigram that the codebook does not
+    hold sets no bit.
+    """
+    padded = [F.struct(F.lit(i).alias("at"), F.concat(F.lit(PAD), v, F.lit(PAD)).alias("text")) for i, v in enumerate(values)]
+    none = F.array(*[F.lit(0).cast("bigint")] * words)
+
+    def found(book: Column, value: Column, i: Column) -> Column:
+        node = F.get(book, place + value["at"])
+        next_ = F.get(node["nexts"], F.instr(node["chars"], value["text"].substr(i, F.lit(1))) - 1)
+        return F.get(next_["filters"], F.instr(next_["chars"], value["text"].substr(i + 1, F.lit(1))) - 1)
+
+    def with_value(book: Column, value: Column, so_far: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.length(value["text"]) - 1)
+        one = lambda acc, i: F.coalesce(F.zip_with(acc, found(book, value, i), lambda x, y: x.bitwiseOR(y)), acc)
+        return F.coalesce(F.aggregate(steps, so_far, one), so_far)
+
+    # the codebook is named once, so the planner keeps it as the subquery's value and does not carry it in rows
+    over = F.transform(F.array(letters), lambda book: F.aggregate(F.array(*padded), none, lambda acc, v: with_value(book, v, acc)))
+    return F.get(over, F.lit(0))
 
 
 def encode(people: DataFrame, columns: list[str], configs: Sequence[LinkConfig], book: Codebook, keep: list[str]) -> DataFrame:
     """Filters of every record: (config_id, keep..., words).  Records with equal ``keep`` stay apart.
 
-    With a broadcast codebook a record's bigrams stay side by side in one task, and their filters are merged
-    there, run by run, without a shuffle.  A larger codebook is met by a shuffled join, so records carry a row
-    number; they are written with it first, so that a task that runs again finds the numbers unchanged.  Null
-    tokens take no part in that join.
+    While the codebook fits one value, a record's filter is one expression over its attributes: no rows per bigram, no
+    exchange, no Python.  A larger codebook is met by a shuffled join, so records carry a row number; they are written
+    with it first, so that a task that runs again finds the numbers unchanged.  Null tokens take no part in that join.
     """
     rows = with_configs(people.select(*dict.fromkeys(keep + columns + _config_column(people))), configs)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     carried = ["config_id", *keep]
-    if book.table.fits(64 + 8 * book.words):
-        # Attributes may be carried as well as encoded; keep an untouched copy of what is carried.
-        tokens = with_tokens(numbered, columns).select("_row", *carried, "attr_idx", "token")
-        found = tokens.join(F.broadcast(book.table.frame), ["config_id", "attr_idx", "token"], "left")
-        joined = found.select("_row", *carried, *[f"w{i}" for i in range(book.words)])
-        schema = T.StructType([joined.schema[c] for c in carried] + [T.StructField("words", T.ArrayType(T.LongType()))])
-        n_carried, n_words = len(carried), book.words
-
-        def merge(batches):
-            return or_runs(batches, n_carried, n_words)
-
-        return joined.mapInArrow(merge, schema)
+    if book.letters:
+        values = [F.col(c).cast("string") for c in columns]
+        starts = list(book.places.items())
+        place = F.lit(starts[0][1])
+        if len(starts) > 1:
+            place = F.expr(f"map({', '.join(f'{number}, {at}' for number, at in starts)})[config_id]")
+        with_book = rows.withColumn("_book", book.letters.frame.scalar())
+        return with_book.select(*carried, merged_filters(values, place, F.col("_book"), book.words).alias("words"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     written = store(numbered, "numbered").frame
     tokens = with_tokens(written, columns).select("_row", "config_id", "attr_idx", "token").where(F.col("token").isNotNull())
     joined = tokens.join(book.table.frame, ["config_id", "attr_idx", "token"])

@@ -24,39 +24,6 @@ def bit_matrix(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
 
 
-def or_runs(batches, carried: int, words: int):
-    """One row per run of equal first columns: the carried columns and the OR of the word columns.
-
-    Rows of a run are neighbours.  The last run of a batch is kept until the next one shows whether it goes on.
-    """
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        columns = [batch.column(1 + carried + i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(words)]
-        merged = np.stack([np.bitwise_or.reduceat(c, starts) for c in columns], axis=1)
-        lead = [batch.column(i).take(pa.array(starts)) for i in range(1 + carried)]
-        if held is not None:
-            if held[0][0][0].as_py() == key[0]:
-                merged[0] |= held[1][0]
-            else:
-                yield _run_rows(*held)
-        if len(starts) > 1:
-            yield _run_rows([c[:-1] for c in lead], merged[:-1])
-        held = ([c[-1:] for c in lead], merged[-1:])
-    if held is not None:
-        yield _run_rows(*held)
-
-
-def _run_rows(lead: list, merged: np.ndarray) -> pa.RecordBatch:
-    flat = pa.array(np.ascontiguousarray(merged).ravel())
-    offsets = pa.array(np.arange(0, merged.size + 1, merged.shape[1], dtype=np.int32))
-    columns = [*lead[1:], pa.ListArray.from_arrays(offsets, flat)]
-    return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
-
-
 SHORT_SEGMENT = 12
 FLUSH_BYTES = 64 * 1024 * 1024
 
