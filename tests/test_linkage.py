@@ -161,6 +161,27 @@ def test_search_matches_recursion_and_exhaustive(spark):
     assert check.where(~F.col("dice").eqNullSafe(F.col("want"))).count() == 0
 
 
+def test_exhaustive_search_by_bands(spark):
+    """Filters of very different sizes: same results, ties by A's order across bands, far bands skipped."""
+    draw = random.Random(15)
+    rows = [(i, frozenset(draw.sample(range(120), draw.choice([3, 8, 20, 45, 80, 110])))) for i in range(300)]
+    rows += [(400 + i, frozenset()) for i in range(2)]
+    queries = [(1000 + i, frozenset(list(b)[: max(1, len(b) - draw.randrange(3))])) for i, b in rows[:150] if b]
+    queries += [(2000, frozenset()), (2001, rows[3][1]), (2002, frozenset(range(120)))]
+    # one bit of two against one bit of four and two: equal Dice from different bands, the first in order wins
+    rows += [(-2, frozenset({0, 1, 2, 3})), (-1, frozenset({0}))]
+    queries += [(3000, frozenset({0, 1}))]
+    distinct, figures = distinct_filters(frame(spark, rows, 2)), {}
+    got = {r.id: (r.best_a, r.dice) for r in search_all(distinct, frame(spark, queries, 2), ["id"], tile_rows=16, figures=figures).collect()}
+    assert got == {key: model.best(bits, rows) for key, bits in queries}
+    assert got[3000][0] == -2
+    assert 0 < figures["compared"] < 0.7 * figures["all"]
+    one = {r.id: (r.best_a, r.dice) for r in search_all(distinct, frame(spark, queries, 2), ["id"]).collect()}
+    assert one == got
+    none = distinct_filters(frame(spark, rows, 2).where("id > 9000"))
+    assert all(r.best_a is None for r in search_all(none, frame(spark, queries, 2), ["id"]).collect())
+
+
 def test_two_empty_filters(spark):
     distinct = distinct_filters(frame(spark, [(1, frozenset()), (2, frozenset())]))
     found = search_tree(build_tree(distinct, 60), frame(spark, [(9, frozenset())]), ["id"]).collect()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import bitwords
-from ..sources.store import store
+from ..sources.store import Stored, store
 from .distinct import DistinctFilters
 from .subtree import best_in_tile, bit_matrix, dice_of, grow, pair_up, word_matrix
 from .tree import Tree, descend
@@ -105,67 +105,121 @@ def _empty(schema: T.StructType) -> pa.Table:
     return to_arrow_schema(schema).empty_table()
 
 
-def search_all(distinct: DistinctFilters, encoded_b: DataFrame, keep: list[str], tile_rows: int = 2048) -> DataFrame:
+def _bands(distinct: DistinctFilters, n_words: int, tile_rows: int) -> Stored:
+    """Neighbouring cardinalities of A's filters, some ``tile_rows`` filters together: one row per cardinality.
+
+    (config_id, band, ones, low, high, slices): ``low`` to ``high`` are the band's cardinalities, ``slices`` how many tiles
+    its filters fill.  There are no more rows than a filter has bits, for each configuration.
+    """
+    per_config = W.partitionBy("config_id")
+    counts = distinct.filters.frame.groupBy("config_id", bitwords.cardinality(F.col("words"), n_words).alias("ones")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(per_config.orderBy("ones")) - F.col("n")
+    width = F.greatest(F.lit(1), F.least(F.lit(tile_rows), F.ceil(F.sum("n").over(per_config) / MIN_TILES)))
+    cut = counts.where("ones > 0").select("*", width.alias("width"), before.alias("before"))
+    step = F.floor(F.col("before") / F.col("width"))
+    dense = cut.withColumn("band", F.dense_rank().over(per_config.orderBy(step)))
+    whole = W.partitionBy("config_id", "band")
+    slices = F.ceil(F.sum("n").over(whole) / F.col("width")).cast("int")
+    return store(
+        dense.select("config_id", "band", "ones", F.min("ones").over(whole).alias("low"), F.max("ones").over(whole).alias("high"), slices.alias("slices")),
+        "bands", most=F.max("band"),
+    )
+
+
+def _bound(ones: Column, low: Column, high: Column) -> Column:
+    """The largest Dice that a filter with ``ones`` bits can have with any of ``low`` to ``high`` bits: 2 min / sum."""
+    near = F.greatest(low, F.least(high, ones))
+    return F.lit(2.0) * F.least(ones, near) / (ones + near).cast("double")
+
+
+def search_all(
+    distinct: DistinctFilters, encoded_b: DataFrame, keep: list[str], tile_rows: int = 2048, figures: dict | None = None
+) -> DataFrame:
     """Exhaustive search: the best of all A records for every B record, (config_id, keep..., best_a, dice).
 
     A B record whose filter A holds exactly is settled by an equi-join on the filter (Dice 1 cannot be
-    beaten).  The others are compared with all of A tile by tile: both sides are dealt by filter hash into
-    tiles of about ``tile_rows`` distinct filters, every B tile meets every A tile in a task of its own as
-    a matrix product, and only the best row per B filter and A tile leaves the task.  The work is |A| x |B| by
-    definition of the operator; it is the yardstick for the index, not the way to link large tables.
+    beaten).  The others meet A tile by tile in tasks of their own, as matrix products, and only the best row per B filter
+    and A tile leaves a task.
+
+    A's tiles are banded by cardinality.  Two filters of x and y bits have a Dice of at most 2 min(x, y) / (x + y), so a B
+    filter begins with the band of its own cardinality and goes outward, twice as many bands in each round; it skips a
+    band whose bound is below the best found so far.  A band whose bound equals it is visited, as ties go by A's order.
+    The work is |A| x |B| at worst; it is the yardstick for the index, not the way to link large tables.
+
+    ``figures`` gets the pairs of B filters and A tiles that were ``compared``, and how many there are in ``all``.
     """
     filters = distinct.filters.frame
     b = store(encoded_b, "encoded-b").frame
+    n_words = distinct.filters.seen["words"] or 1
     wanted = b.groupBy("config_id", "words").agg(F.count(F.lit(1)).alias("uses"))
-    settled = wanted.join(filters.select("config_id", "words", "id_a", "ord"), ["config_id", "words"], "left")
+    settled = wanted.join(filters.select("config_id", "words", "id_a"), ["config_id", "words"], "left")
     nonempty = F.exists("words", lambda w: w != 0)
-    settled = settled.withColumn("sure", F.col("id_a").isNotNull() & nonempty)
-    wide = store(settled, "wanted", open=F.count_if(~F.col("sure")))
-    tiles_a = max(MIN_TILES, -(-distinct.filters.rows // tile_rows))
-    tiles_b = max(MIN_TILES, -(-wide.seen["open"] // tile_rows))
-    tile_hash = F.xxhash64("words", F.lit("tile"))
-    cell = ["config_id", "tile_a", "tile_b"]
-    a_side = filters.withColumn("tile_a", F.pmod(tile_hash, F.lit(tiles_a)).cast("int")).withColumn(
-        "tile_b", F.explode(F.sequence(F.lit(0), F.lit(tiles_b - 1)))
-    )
-    b_side = (
-        wide.frame.where(~F.col("sure"))
-        .select("config_id", F.col("words").alias("b_words"))
-        .withColumn("tile_b", F.pmod(F.xxhash64("b_words", F.lit("tile")), F.lit(tiles_b)).cast("int"))
-        .withColumn("tile_a", F.explode(F.sequence(F.lit(0), F.lit(tiles_a - 1))))
-    )
-    schema = T.StructType([filters.schema[c] for c in ("config_id", "words", "id_a", "ord")] + [T.StructField("dice", T.DoubleType())])
-    empty = _empty(schema)
+    wide = store(settled.withColumn("sure", F.col("id_a").isNotNull() & nonempty), "wanted").frame
+    exact = wide.where("sure").select("config_id", "words", F.col("id_a").alias("best_a"), F.lit(1.0).alias("dice"))
+
+    bands = _bands(distinct, n_words, tile_rows)
+    ranges = bands.frame.groupBy("config_id", "band").agg(*[F.first(c).alias(c) for c in ("low", "high", "slices")])
+    slice_of = F.pmod(F.xxhash64("words", F.lit("tile")), F.col("slices")).cast("int")
+    a = filters.withColumn("ones", bitwords.cardinality(F.col("words"), n_words)).join(F.broadcast(bands.frame), ["config_id", "ones"])
+    a = store(a.select("config_id", "band", slice_of.alias("slice"), "id_a", "ord", "words"), "banded").frame
+    top_type = T.StructType([T.StructField("below", T.DoubleType()), *(filters.schema[c] for c in ("ord", "id_a"))])
+    open_ = wide.where(~F.col("sure") & nonempty).select("config_id", "words", F.lit(None).cast(top_type).alias("top"))
+    open_ = open_.withColumn("ones", bitwords.cardinality(F.col("words"), n_words))
+    # the own band is the one that a filter comes nearest to
+    reach = F.abs(F.greatest(F.col("low"), F.least(F.col("high"), F.col("ones"))) - F.col("ones"))
+    home = open_.select("config_id", "ones").distinct().join(F.broadcast(ranges), "config_id")
+    home = home.groupBy("config_id", "ones").agg(F.min_by("band", F.struct(reach, "band")).alias("home"))
+    state = store(open_.join(F.broadcast(home), ["config_id", "ones"]), "open")
+    if figures is not None:
+        tiles = ranges.groupBy("config_id").agg(F.sum("slices").alias("tiles"))
+        figures |= {"compared": 0, "all": state.frame.join(tiles, "config_id").agg(F.sum("tiles")).first()[0] or 0}
+
+    near, far, most = 0, 0, bands.seen["most"] or 0
+    while near < most and state.rows:
+        apart = F.abs(F.col("band") - F.col("home"))
+        worth = _bound(F.col("ones"), F.col("low"), F.col("high")) >= F.coalesce(-F.col("top.below"), F.lit(0.0))
+        visits = state.frame.join(F.broadcast(ranges), "config_id").where((apart >= near) & (apart <= far) & worth)
+        shares = F.ceil(F.count(F.lit(1)) / tile_rows).cast("int")
+        dealt = store(visits.groupBy("config_id", "band").agg(shares.alias("shares"), F.sum("slices").alias("pairs")), "visits", pairs=F.sum("pairs"))
+        near, far = far + 1, 2 * far + 2
+        if not dealt.rows:  # bounds fall outward, so no band further off is worth a visit either
+            break
+        if figures is not None:
+            figures["compared"] += dealt.seen["pairs"]
+        found = _compared(a, visits, dealt.frame, top_type)
+        best = found.groupBy("config_id", "words").agg(F.min("top").alias("new"))
+        merged = state.frame.join(best, ["config_id", "words"], "left").withColumn("top", F.least("top", "new")).drop("new")
+        state = store(merged.select(*state.frame.columns), "open")
+    compared = state.frame.where("top IS NOT NULL").select("config_id", "words", F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
+    return b.join(exact.unionByName(compared), ["config_id", "words"], "left").select("config_id", *keep, "best_a", "dice")
+
+
+def _compared(a: DataFrame, visits: DataFrame, dealt: DataFrame, top_type: T.StructType) -> DataFrame:
+    """Best row of each A tile for every B filter that visits it: (config_id, words, top).
+
+    A tile that many B filters visit is copied to several tasks, and they are dealt over the copies.
+    """
+    cell = ["config_id", "band", "slice", "share"]
+    a_side = a.join(F.broadcast(dealt), ["config_id", "band"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    b_side = visits.join(F.broadcast(dealt.select("config_id", "band", "shares")), ["config_id", "band"])
+    b_side = b_side.withColumn("share", F.pmod(F.xxhash64("words", F.lit("share")), F.col("shares")).cast("int"))
+    b_side = b_side.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    out = T.StructType([a.schema["config_id"], a.schema["words"], T.StructField("top", top_type)])
+    empty = _empty(out)
 
     def compare(a_rows, b_rows):
         if not (a_rows.num_rows and b_rows.num_rows):
             return empty
         a_rows = a_rows.sort_by("ord")
-        index, score = best_in_tile(bit_matrix(word_matrix(a_rows["words"])), bit_matrix(word_matrix(b_rows["b_words"])))
+        index, score = best_in_tile(bit_matrix(word_matrix(a_rows["words"])), bit_matrix(word_matrix(b_rows["words"])))
         found = np.flatnonzero(index >= 0)
-        return pa.table(
-            {
-                "config_id": b_rows["config_id"].take(pa.array(found)),
-                "words": b_rows["b_words"].take(pa.array(found)),
-                "id_a": a_rows["id_a"].take(pa.array(index[found])),
-                "ord": a_rows["ord"].take(pa.array(index[found])),
-                "dice": pa.array(score[found]),
-            }
-        )
+        at = pa.array(index[found])
+        columns = [pa.array(-score[found]), *(a_rows[c].combine_chunks().take(at) for c in ("ord", "id_a"))]
+        taken = b_rows.select(["config_id", "words"]).take(pa.array(found))
+        return taken.append_column("top", pa.StructArray.from_arrays(columns, ["below", "ord", "id_a"]))
 
-    scored = (
-        a_side.select(*cell, "id_a", "ord", "words")
-        .groupBy(*cell)
-        .cogroup(b_side.select(*cell, "b_words").groupBy(*cell))
-        .applyInArrow(compare, schema)
-    )
-    best = scored.groupBy("config_id", "words").agg(
-        F.min(F.struct((-F.col("dice")).alias("below"), "ord", "id_a")).alias("top")
-    )
-    compared = best.select("config_id", "words", F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
-    exact = wide.frame.where("sure").select("config_id", "words", F.col("id_a").alias("best_a"), F.lit(1.0).alias("dice"))
-    found = exact.unionByName(compared)
-    return b.join(found, ["config_id", "words"], "left").select("config_id", *keep, "best_a", "dice")
+    left = a_side.select(*cell, "id_a", "ord", "words").groupBy(*cell)
+    return left.cogroup(b_side.select(*cell, "words").groupBy(*cell)).applyInArrow(compare, out)
 
 
 def candidates_long(matches: DataFrame, keep: list[str]) -> DataFrame:
