@@ -142,8 +142,8 @@ def search_all(
     and A tile leaves a task.
 
     A's tiles are banded by cardinality.  Two filters of x and y bits have a Dice of at most 2 min(x, y) / (x + y), so a B
-    filter begins with the band of its own cardinality and goes outward, twice as many bands in each round; it skips a
-    band whose bound is below the best found so far.  A band whose bound equals it is visited, as ties go by A's order.
+    filter begins with the bands around its own cardinality and then goes outward as far as the bound reaches the best
+    found.  A band whose bound equals it is visited, as ties go by A's order.
     The work is |A| x |B| at worst; it is the yardstick for the index, not the way to link large tables.
 
     ``figures`` gets the pairs of B filters and A tiles that were ``compared``, and how many there are in ``all``.
@@ -154,57 +154,49 @@ def search_all(
     wanted = b.groupBy("config_id", "words").agg(F.count(F.lit(1)).alias("uses"))
     settled = wanted.join(filters.select("config_id", "words", "id_a"), ["config_id", "words"], "left")
     nonempty = F.exists("words", lambda w: w != 0)
-    wide = store(settled.withColumn("sure", F.col("id_a").isNotNull() & nonempty), "wanted").frame
-    exact = wide.where("sure").select("config_id", "words", F.col("id_a").alias("best_a"), F.lit(1.0).alias("dice"))
+    settled = settled.withColumn("sure", F.col("id_a").isNotNull() & nonempty)
+    wide = store(settled, "wanted", open=F.count_if(~F.col("sure")))
+    exact = wide.frame.where("sure").select("config_id", "words", F.col("id_a").alias("best_a"), F.lit(1.0).alias("dice"))
 
     bands = _bands(distinct, n_words, tile_rows)
-    ranges = bands.frame.groupBy("config_id", "band").agg(*[F.first(c).alias(c) for c in ("low", "high", "slices")])
+    ranges = bands.frame.select("config_id", "band", "low", "high", "slices").distinct()
     slice_of = F.pmod(F.xxhash64("words", F.lit("tile")), F.col("slices")).cast("int")
     a = filters.withColumn("ones", bitwords.cardinality(F.col("words"), n_words)).join(F.broadcast(bands.frame), ["config_id", "ones"])
-    a = store(a.select("config_id", "band", slice_of.alias("slice"), "id_a", "ord", "words"), "banded").frame
-    top_type = T.StructType([T.StructField("below", T.DoubleType()), *(filters.schema[c] for c in ("ord", "id_a"))])
-    open_ = wide.where(~F.col("sure") & nonempty).select("config_id", "words", F.lit(None).cast(top_type).alias("top"))
+    a = a.select("config_id", "band", slice_of.alias("slice"), "id_a", "ord", "words")
+    open_ = wide.frame.where(~F.col("sure") & nonempty).select("config_id", "words")
     open_ = open_.withColumn("ones", bitwords.cardinality(F.col("words"), n_words))
     # the own band is the one that a filter comes nearest to
     reach = F.abs(F.greatest(F.col("low"), F.least(F.col("high"), F.col("ones"))) - F.col("ones"))
     home = open_.select("config_id", "ones").distinct().join(F.broadcast(ranges), "config_id")
     home = home.groupBy("config_id", "ones").agg(F.min_by("band", F.struct(reach, "band")).alias("home"))
-    state = store(open_.join(F.broadcast(home), ["config_id", "ones"]), "open")
+    open_ = open_.join(F.broadcast(home), ["config_id", "ones"]).join(F.broadcast(ranges), "config_id")
+    apart = F.abs(F.col("band") - F.col("home"))
+    near = max(1, (bands.seen["most"] or 0) // 8)
+    shares = max(MIN_TILES, -(-wide.seen["open"] // tile_rows))
+
+    first = _compared(a, open_.where(apart <= near), shares)
+    first = store(first.groupBy("config_id", "words").agg(F.min("top").alias("top")), "best-of-near-bands").frame
+    worth = _bound(F.col("ones"), F.col("low"), F.col("high")) >= F.coalesce(-F.col("top.below"), F.lit(0.0))
+    further = open_.where(apart > near).join(first, ["config_id", "words"], "left").where(worth)
     if figures is not None:
-        tiles = ranges.groupBy("config_id").agg(F.sum("slices").alias("tiles"))
-        figures |= {"compared": 0, "all": state.frame.join(tiles, "config_id").agg(F.sum("tiles")).first()[0] or 0}
-
-    near, far, most = 0, 0, bands.seen["most"] or 0
-    while near < most and state.rows:
-        apart = F.abs(F.col("band") - F.col("home"))
-        worth = _bound(F.col("ones"), F.col("low"), F.col("high")) >= F.coalesce(-F.col("top.below"), F.lit(0.0))
-        visits = state.frame.join(F.broadcast(ranges), "config_id").where((apart >= near) & (apart <= far) & worth)
-        shares = F.ceil(F.count(F.lit(1)) / tile_rows).cast("int")
-        dealt = store(visits.groupBy("config_id", "band").agg(shares.alias("shares"), F.sum("slices").alias("pairs")), "visits", pairs=F.sum("pairs"))
-        near, far = far + 1, 2 * far + 2
-        if not dealt.rows:  # bounds fall outward, so no band further off is worth a visit either
-            break
-        if figures is not None:
-            figures["compared"] += dealt.seen["pairs"]
-        found = _compared(a, visits, dealt.frame, top_type)
-        best = found.groupBy("config_id", "words").agg(F.min("top").alias("new"))
-        merged = state.frame.join(best, ["config_id", "words"], "left").withColumn("top", F.least("top", "new")).drop("new")
-        state = store(merged.select(*state.frame.columns), "open")
-    compared = state.frame.where("top IS NOT NULL").select("config_id", "words", F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
+        pairs = lambda visits: visits.agg(F.sum("slices")).first()[0] or 0
+        figures |= {"compared": pairs(open_.where(apart <= near)) + pairs(further), "all": pairs(open_)}
+    best = first.unionByName(_compared(a, further, shares)).groupBy("config_id", "words").agg(F.min("top").alias("top"))
+    compared = best.select("config_id", "words", F.col("top.id_a").alias("best_a"), (-F.col("top.below")).alias("dice"))
     return b.join(exact.unionByName(compared), ["config_id", "words"], "left").select("config_id", *keep, "best_a", "dice")
 
 
-def _compared(a: DataFrame, visits: DataFrame, dealt: DataFrame, top_type: T.StructType) -> DataFrame:
+def _compared(a: DataFrame, visits: DataFrame, shares: int) -> DataFrame:
     """Best row of each A tile for every B filter that visits it: (config_id, words, top).
 
-    A tile that many B filters visit is copied to several tasks, and they are dealt over the copies.
+    A tile is copied ``shares`` times and the B filters that visit it are dealt over the copies.
     """
     cell = ["config_id", "band", "slice", "share"]
-    a_side = a.join(F.broadcast(dealt), ["config_id", "band"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    b_side = visits.join(F.broadcast(dealt.select("config_id", "band", "shares")), ["config_id", "band"])
-    b_side = b_side.withColumn("share", F.pmod(F.xxhash64("words", F.lit("share")), F.col("shares")).cast("int"))
+    a_side = a.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    b_side = visits.withColumn("share", F.pmod(F.xxhash64("words", F.lit("share")), F.lit(shares)).cast("int"))
     b_side = b_side.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    out = T.StructType([a.schema["config_id"], a.schema["words"], T.StructField("top", top_type)])
+    top = T.StructType([T.StructField("below", T.DoubleType()), *(a.schema[c] for c in ("ord", "id_a"))])
+    out = T.StructType([a.schema["config_id"], a.schema["words"], T.StructField("top", top)])
     empty = _empty(out)
 
     def compare(a_rows, b_rows):
