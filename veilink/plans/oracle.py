@@ -520,32 +520,62 @@ def on_sides(a: str, config: Run, b: list[str], truth: str = "id", first_only: b
 
 
 def grid_query() -> str:
-    """All configurations of the sweep: one recursion per encoding, for the B sides of all error shares together.
+    """All configurations of the sweep, in steps that each hold little.
 
-    Nine recursions in one statement need more memory than is reasonable beyond the smallest tables, so this one is run by
-    the tests only.
+    The three error shares are three ranges of B ids, the nine encodings (size and kind) nine ranges of ids on both sides,
+    each with a letter as the root of its tree.  The trees grow level by level on A's records alone and leave their
+    splits; B's records then walk the splits with their bits as a list, and are compared within their leaf by lists.
     """
-    shift = {2: 10_000_000, 5: 20_000_000, 10: 30_000_000}
-    parts = [PEOPLE, SIDE_A, tokens("a", "a"), *[damaged(p, f"b{p}") for p in shift]]
+    by_share, by_encoding = {2: 10_000_000, 5: 20_000_000, 10: 30_000_000}, 1_000_000_000
+    letter = f"chr(65 + cast(id // {by_encoding} as integer))"
+    parts = [PEOPLE, SIDE_A, tokens("a", "a"), *[damaged(p, f"b{p}") for p in by_share]]
     sides = " union all ".join(
-        f"select id + {by} as id, id as true_id, {p} as percent, error_type, {', '.join(ATTRS)} from b{p}" for p, by in shift.items()
+        f"select id + {by} as id, id as true_id, {i} as share, error_type, {', '.join(ATTRS)} from b{p}"
+        for i, (p, by) in enumerate(by_share.items())
     )
     parts += [f"b as ({sides})", tokens("b", "b")]
-    selects = []
-    for config in GRID:
-        n = config.number
-        if config.percent == 2:  # the first of the three that share an encoding
-            parts += [
-                f"a{n}_tokens as (select * from a_tokens)", bits(f"a{n}", config),
-                f"b{n}_tokens as (select * from b_tokens)", bits(f"b{n}", config),
-                linked(f"l{n}", f"a{n}_bits", f"b{n}_bits", "b", "true_id"),
-            ]
-            shared = n
-        selects.append(
-            f"select {n} as config_id, true_id as id, error_type, best_a, round(dice, 6) as dice, hit from l{shared}_links "
-            f"where percent = {config.percent}"
+    encodings = [c for c in GRID if c.percent == 2]  # the first of the three that share an encoding
+    for e, config in enumerate(encodings):
+        for side in "ab":
+            parts += [f"{side}{e}_tokens as (select * from {side}_tokens)", bits(f"{side}{e}", config)]
+    for side in "ab":
+        lists = " union all ".join(
+            f"select id + {e * by_encoding} as id, list(bit order by bit) as bits from {side}{e}_bits group by id"
+            for e in range(len(encodings))
         )
-    return query(" union all ".join(selects), *parts, recursive=True)
+        parts.append(f"{side}_rows as materialized ({lists})")
+    parts.append(f"""
+grown(lvl, id, path, bit, fin) as (
+  select 0, id, {letter}, cast(null as integer), false from a_rows
+  union all
+  select * from (
+    with cur as (select * from grown where not fin),
+      act as (select path, count(*) as n, max(lvl) as lvl from cur group by path having max(lvl) = 0 or count(*) > 5),
+      cnt as (select path, bit, count(*) as k from (select c.path, unnest(r.bits) as bit from cur c join a_rows r using (id))
+              group by all),
+      best as (select path, arg_min(bit, abs(k - n / 2.0) * 100000 + bit) as bit from cnt join act using (path)
+               where k < n group by path)
+    select c.lvl + 1, c.id, case when best.bit is null then c.path
+        when list_contains(r.bits, best.bit) then c.path || '1' else c.path || '0' end, best.bit, best.bit is null
+    from cur c join a_rows r using (id) left join best using (path))),
+splits as (select distinct left(path, length(path) - 1) as path, bit from grown where bit is not null),
+walked(id, path) as (
+  select id, {letter} from b_rows
+  union all
+  select w.id, w.path || case when list_contains(r.bits, s.bit) then '1' else '0' end
+  from walked w join splits s using (path) join b_rows r using (id)),
+filters as (select left(path, 1) as root, path, bits, min(id) as id_a from grown join a_rows using (id) where fin group by all),
+pairs as (
+  select w.id, f.id_a, 2.0e0 * len(list_intersect(f.bits, r.bits)) / (len(f.bits) + len(r.bits)) as dice
+  from walked w join filters f using (path) join b_rows r on r.id = w.id),
+best as (select id, max(struct_pack(d := dice, r := -id_a)) as top from pairs where dice > 0 group by id),
+wanted as (select id + e * {by_encoding} as id, true_id, share, error_type, e from b, range(0, {len(encodings)}) t(e))""")
+    found = f"(-top.r) % {by_encoding}"
+    return query(
+        f"select cast(e * 3 + share + 1 as integer) as config_id, true_id as id, error_type, {found} as best_a, "
+        f"round(top.d, 6) as dice, cast(coalesce({found} = true_id, false) as integer) as hit from wanted left join best using (id)",
+        *parts, recursive=True,
+    )
 
 
 LINE = "l_returnflag, l_orderkey, l_linenumber, l_quantity"
@@ -669,6 +699,7 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
         ),
         "report_gold": gold_query(),
         "sweep_links": sweep_query(),
+        "sweep_from_file": grid_query(),
         "link_tree_triple": query(
             "select id, error_type, best_a, round(dice, 6) as dice, hit from l_links", *synthetic_run(TRIPLE_RUN), recursive=True
         ),
