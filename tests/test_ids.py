@@ -1,5 +1,6 @@
 """Linkage where ids are of any type, repeat, go by another name, or A is empty."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,41 @@ def test_repeated_ids_of_a(spark):
         link_gold(both.drop("ord"), gold(both), ATTRS, [CONFIG], last_of_id=True)
 
 
+def test_one_id_with_a_third_of_a(spark):
+    """Verdicts and candidate maps where one id stands behind many filters, against the records of each leaf."""
+    a = people(spark, 90).withColumn("ord", F.col("id"))
+    shared = a.where("id % 3 = 0").withColumn("ord", F.col("id") + 1000).withColumn("id", F.lit(7).cast("bigint"))
+    a = a.unionByName(shared)  # each of these records is an exact copy of another one
+    b = people(spark, 90).withColumn("check", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")))
+    links = link_gold(a, b, ATTRS, [CONFIG])
+    records = [(r.id, r.ord, tuple(r.words)) for r in links.encoded.a.frame.collect()]
+    filters = {r.id_a: tuple(r.words) for r in links.encoded.distinct.filters.frame.collect()}
+    threshold = links.summary().first().threshold
+    verdicts = links.verdicts()
+    assert "collect_set" not in verdicts._jdf.queryExecution().toString()
+    got = {r.id: (r.VP, r.FP, r.VN, r.FN) for r in verdicts.collect()}
+    single = lambda x: float(np.float32(x))
+    matches = {r.id: r for r in links.matches.collect()}
+    for i, m in matches.items():
+        leaf = {filters[c.id_a]: c.dice for c in m.candidates}
+        own = [single(leaf[w]) for k, _, w in records if w in leaf and k == m.truth]
+        every = [single(leaf[w]) for _, _, w in records if w in leaf]
+        vp, fn = int(bool(own) and max(own) >= threshold), int(bool(own) and max(own) < threshold)
+        high = sum(x >= threshold for x in every)
+        assert got[i] == (vp, high - vp, len(every) - high - fn, fn)
+    for entries in (65_536, 1):
+        maps = links.candidate_maps(["id"], entries=entries).collect()
+        for i, m in matches.items():
+            leaf = {filters[c.id_a]: c.dice for c in m.candidates}
+            want = {k: single(leaf[w]) for k, _, w in sorted(records, key=lambda r: (r[0], r[1])) if w in leaf}
+            mine = [r for r in maps if r.id == i]
+            assert sorted(r.part for r in mine) == list(range(mine[0].parts))
+            merged = {k: v for r in mine for k, v in r.busca.pares_candidatos.items()}
+            assert merged == want and sum(len(r.busca.pares_candidatos) for r in mine) == len(want)
+            assert all(r.busca.baseA == m.best_a for r in mine)
+        assert (max(r.parts for r in maps) > 1) == (entries == 1)
+
+
 def test_key_of_another_name(spark):
     a = people(spark).withColumnRenamed("id", "pid")
     links = link_synthetic(a, a, [CONFIG], Roles(key="pid"))

@@ -17,7 +17,7 @@ CHECKED = [
     "corrupt_all", "bigrams", "hash_enhanced", "encode_abf", "encode_rlb", "encode_block30", "tree_two_levels",
     "tree_leaves", "link_exhaustive", "candidate_map", "roc_points", "pair_verdicts", "report_by_error",
     "report_gold", "sweep_links", "synthetic_base", "hash_triple", "link_tree_triple", "link_repeated_ids", "candidate_pairs",
-    "pair_verdicts_copies", "slice_ties", "folder_scan", "append_results", "register_join", "sweep_from_file",
+    "pair_verdicts_copies", "slice_ties", "folder_scan", "append_results", "register_join", "sweep_from_file", "candidate_map_copies", "append_runs",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not mounted")

@@ -41,6 +41,18 @@ def test_results_are_appended_by_error_type(spark, tmp_path):
     assert back.where("Tipo_erro = 'tipo 1'").count() == 2
 
 
+def test_a_run_that_is_repeated_stands_once(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([(1, "tipo 1"), (2, "tipo 2"), (3, "tipo 2")], "id bigint, Tipo_erro string")
+    for part, run in ((rows, "a/1"), (rows, "b"), (rows.where("id < 3"), "a/1"), (rows.where("id = 1"), "a/1")):
+        tables.append_results(part, path, run=run)
+    tables.append_results(rows.where("id = 3"), path + "2")
+    tables.append_results(rows.where("id = 3"), path + "2")
+    found = tables.read_delimited(spark, path, schema="id bigint, Tipo_erro string, run string")
+    assert sorted((r.run, r.id) for r in found.collect()) == [("a/1", 1), ("b", 1), ("b", 2), ("b", 3)]
+    assert tables.read_delimited(spark, path + "2", schema="id bigint, Tipo_erro string").count() == 2
+
+
 def test_normalised_columns(spark):
     raw = spark.createDataFrame([("a", "3550308.0"), ("b", ""), ("c", "17")], "`NOME X` string, code string")
     clean = tables.normalise_columns(raw, {"NOME X": "NOME"}, upper=["NOME"], integers=["code"])

@@ -22,18 +22,27 @@ class DistinctFilters:
     filters: Stored
     encoded: DataFrame
 
+    @property
+    def has_copies(self) -> bool:
+        return bool(self.filters.seen["repeated"])
+
+    def members(self) -> DataFrame:
+        """(config_id, member, id_a, copies, ord) of all records whose filter others share; ``ord`` is the record's own."""
+        repeated = self.filters.frame.where(F.col("copies") > 1).select("config_id", "words", "id_a", "copies")
+        words = self.filters.seen["words"] or 0
+        if self.filters.seen["repeated"] * (56 + 8 * words) <= 64 * 1024 * 1024:
+            repeated = F.broadcast(repeated)
+        own = F.col("ord") if "ord" in self.encoded.columns else F.col("id")
+        found = self.encoded.join(repeated, ["config_id", "words"])
+        return found.select("config_id", F.col("id").alias("member"), "id_a", "copies", own.alias("ord"))
+
     def aliases(self) -> DataFrame:
         """(config_id, member, id_a) of the records that are represented by another id."""
-        if not self.filters.seen["repeated"]:
+        if not self.has_copies:
             # A known-empty side lets the planner drop the joins with it.
             nothing = self.encoded.select("config_id", F.col("id").alias("member"), F.col("id").alias("id_a"))
             return self.encoded.sparkSession.createDataFrame([], nothing.schema)
-        repeated = self.filters.frame.where(F.col("copies") > 1).select("config_id", "words", "id_a")
-        words = self.filters.seen["words"] or 0
-        if self.filters.seen["repeated"] * (48 + 8 * words) <= 64 * 1024 * 1024:
-            repeated = F.broadcast(repeated)
-        members = self.encoded.join(repeated, ["config_id", "words"])
-        return members.where(F.col("id") != F.col("id_a")).select("config_id", F.col("id").alias("member"), "id_a")
+        return self.members().where(F.col("member") != F.col("id_a")).select("config_id", "member", "id_a")
 
 
 def distinct_filters(encoded: DataFrame) -> DistinctFilters:

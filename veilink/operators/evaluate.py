@@ -99,21 +99,36 @@ def curve_summary(points: DataFrame) -> DataFrame:
     return best_threshold(points).join(roc_area(points), "config_id")
 
 
-def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, truth: str = "truth") -> DataFrame:
+def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame | None = None, truth: str = "truth") -> DataFrame:
     """Counts of a B record's candidate pairs: adds VP, FP, VN and FN.
 
     Candidates come per distinct filter with a copy count; one of the copies, at most, counts as the true partner.
-    A true partner that is represented by another id is found through ``aliases``; where several records of A share
-    the true id, the most similar of them in the leaf is the partner.  Scores are compared as
-    32-bit floats; a null score is never at or above the threshold and never a miss.
+    A true partner that is represented by another id is found through ``aliases`` (config_id, member, id_a; None if every
+    record represents itself); where several records of A share the true id, the most similar of them in the leaf is the
+    partner.  Scores are compared as 32-bit floats; a null score is never at or above the threshold and never a miss.
+
+    Only B records whose true id is a member of some alias take part in the look-up.  Their candidates are met with the
+    aliases by (true id, candidate), so an id that a large part of A shares is spread over its representatives.
     """
-    # An id that several records of A share may stand behind several others.
-    stands_for = aliases.groupBy("config_id", F.col("member").alias(truth)).agg(F.collect_set("id_a").alias("stand_ins"))
-    # Rows without a known partner need no look-up, and would all meet under the null key.
-    with_truth = matches.where(F.col(truth).isNotNull()).join(stands_for, ["config_id", truth], "left")
-    known = with_truth.unionByName(matches.where(F.col(truth).isNull()), allowMissingColumns=True)
+    unknown = F.lit(None).cast("double").alias("_alias_dice")
+    if aliases is None:
+        return _verdicts(matches.select("*", unknown), summary, truth)
+    known = aliases.select("config_id", F.col("member").alias(truth), "id_a").distinct()
+    members = known.select("config_id", truth).distinct()
+    plain = matches.join(members, ["config_id", truth], "left_anti").select("*", unknown)
+    numbered = matches.withColumn("_row", F.monotonically_increasing_id())
+    shared = numbered.join(members, ["config_id", truth], "left_semi")
+    each = shared.select("*", F.explode_outer("candidates").alias("_c")).withColumn("id_a", F.col("_c.id_a"))
+    met = each.join(known.withColumn("_alias", F.lit(True)), ["config_id", truth, "id_a"], "left")
+    met = met.select("_row", *matches.columns, F.when(F.col("_alias"), F.col("_c.dice")).alias("_score"))
+    again = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in matches.columns], F.max("_score").alias("_alias_dice"))
+    return _verdicts(plain.unionByName(again.drop("_row")), summary, truth)
+
+
+def _verdicts(known: DataFrame, summary: DataFrame, truth: str) -> DataFrame:
+    """``known`` are matches with the best Dice of the true partner's representatives, ``_alias_dice``."""
     known = known.join(F.broadcast(summary), "config_id")
-    above = F.coalesce(F.col("dice_f") >= F.col("threshold"), F.lit(False))
+    above = F.coalesce(F.col("_dice_f") >= F.col("threshold"), F.lit(False))
     zero = F.lit(0).cast("bigint")
 
     def count(keep) -> Column:
@@ -122,23 +137,20 @@ def pair_verdicts(matches: DataFrame, summary: DataFrame, aliases: DataFrame, tr
     def at_or_above(c: Column) -> Column:
         return F.coalesce(c["dice"].cast("float").cast("double") >= F.col("threshold"), F.lit(False))
 
-    def partner(c: Column) -> Column:
-        return (c["id_a"] == F.col(truth)) | F.coalesce(F.array_contains("stand_ins", c["id_a"]), F.lit(False))
-
-    scores = F.transform(F.filter("candidates", partner), lambda c: c["dice"])
-    with_partner = known.withColumn("dice_f", F.array_max(scores).cast("float").cast("double"))
+    own = F.array_max(F.transform(F.filter("candidates", lambda c: c["id_a"] == F.col(truth)), lambda c: c["dice"]))
+    with_partner = known.withColumn("_dice_f", F.greatest(own, "_alias_dice").cast("float").cast("double"))
     counted = with_partner.withColumns(
         {
-            "total": count(lambda c: F.lit(True)),
-            "high": count(at_or_above),
+            "_total": count(lambda c: F.lit(True)),
+            "_high": count(at_or_above),
             "VP": above.cast("bigint"),
-            "FN": F.coalesce(F.col("dice_f") < F.col("threshold"), F.lit(False)).cast("bigint"),
+            "FN": F.coalesce(F.col("_dice_f") < F.col("threshold"), F.lit(False)).cast("bigint"),
         }
     )
     verdicts = counted.withColumns(
-        {"FP": F.col("high") - F.col("VP"), "VN": F.col("total") - F.col("high") - F.col("FN")}
+        {"FP": F.col("_high") - F.col("VP"), "VN": F.col("_total") - F.col("_high") - F.col("FN")}
     )
-    return verdicts.drop("stand_ins", "dice_f", "total", "high")
+    return verdicts.drop("_alias_dice", "_dice_f", "_total", "_high")
 
 
 def _f(column: Column) -> Column:

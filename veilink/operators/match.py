@@ -233,7 +233,7 @@ def candidate_pairs(matches: DataFrame, aliases: DataFrame, keep: list[str]) ->
 def candidate_map(matches: DataFrame, keep: list[str]) -> DataFrame:
     """Export form: ``pares_candidatos`` maps each distinct filter's first id to Dice, beside the best.
 
-    ``candidate_pairs`` has the ids of all copies.
+    ``candidate_maps`` has the ids of all copies.
     """
     entries = F.transform(
         "candidates", lambda c: F.struct(c["id_a"].alias("key"), c["dice"].cast("float").alias("value"))
@@ -249,6 +249,47 @@ def candidate_map(matches: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def candidate_maps(matches: DataFrame, members: DataFrame, keep: list[str], entries: int = 65_536) -> DataFrame:
+    """Export form with the ids of all candidate records: (config_id, keep..., part, parts, busca).
+
+    ``members`` are A's records that share a filter (config_id, member, id_a, copies, ord).  A filter of many records is
+    cut by hash of the id into parts of about ``entries`` ids, a power of two of them, and a B row whose leaf holds such
+    a filter gets as many rows, ``part`` of ``parts``: no map grows with the number of copies.  Each part of a filter is
+    gathered once, so a B row meets one row per candidate and part.  An id that several records of the leaf have keeps
+    its last record in A's order (then the larger Dice).
+    """
+    cut = lambda copies: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(copies / entries, F.lit(1.0))))).cast("int")
+    turn = lambda id_, parts: F.xxhash64(id_).bitwiseAND((parts - 1).cast("bigint")).cast("int")
+    key = ["config_id", "id_a"]
+    gathered = members.withColumn("_slot", turn(F.col("member"), cut(F.col("copies"))))
+    gathered = gathered.groupBy(*key, "_slot").agg(F.collect_list(F.struct(F.col("member").alias("key"), "ord")).alias("_own"))
+
+    parts = F.array_max(F.transform("candidates", lambda c: cut(c["copies"])))
+    rows = matches.select("config_id", *keep, "best_a", "dice", "candidates", F.coalesce(parts, F.lit(1)).alias("parts"))
+    many = F.exists("candidates", lambda c: c["copies"] > 1)
+    single = rows.where(~many).withColumn("part", F.lit(0)).withColumn(
+        "_all", F.transform("candidates", lambda c: F.struct(c["id_a"].alias("key"), c["ord"].alias("ord"), c["dice"].alias("dice")))
+    )
+    carried = ["config_id", *keep, "best_a", "dice", "parts"]
+    shared = rows.where(many).withColumn("_row", F.monotonically_increasing_id())
+    shared = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = shared.select("_row", "part", *carried, F.explode("candidates").alias("_c"))
+    each = each.withColumn("id_a", F.col("_c.id_a")).withColumn("_slot", F.col("part").bitwiseAND(cut(F.col("_c.copies")) - 1).cast("int"))
+    met = each.join(gathered, [*key, "_slot"], "left")
+    alone = F.array(F.struct(F.col("_c.id_a").alias("key"), F.col("_c.ord").alias("ord")))
+    here = F.filter(F.coalesce("_own", alone), lambda m: turn(m["key"], F.col("parts")) == F.col("part"))
+    scored = F.transform(here, lambda m: F.struct(m["key"].alias("key"), m["ord"].alias("ord"), F.col("_c.dice").alias("dice")))
+    met = met.select("_row", "part", *carried, scored.alias("_scored"))
+    again = met.groupBy("_row", "part").agg(*[F.first(c).alias(c) for c in carried], F.flatten(F.collect_list("_scored")).alias("_all"))
+
+    both = single.select(*carried, "part", "_all").unionByName(again.drop("_row"))
+    both = both.withColumn("_all", F.array_sort("_all"))
+    last = lambda m, i: F.coalesce(F.get("_all", i + 1)["key"] != m["key"], F.lit(True))
+    pairs = F.transform(F.filter("_all", last), lambda m: F.struct(m["key"].alias("key"), m["dice"].cast("float").alias("value")))
+    busca = F.struct(F.col("best_a").alias("baseA"), F.col("dice").cast("float").alias("dice"), F.map_from_entries(pairs).alias("pares_candidatos"))
+    return both.select("config_id", *keep, "part", "parts", busca.alias("busca"))
+
+
 def best_of(candidates: DataFrame, keep: list[str]) -> DataFrame:
     """Best candidate from the long form; ties go to the first in A's order, no positive Dice gives no row."""
     top = F.min(F.struct((-F.col("dice")).alias("below"), "ord", "id_a")).alias("top")

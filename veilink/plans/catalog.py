@@ -324,6 +324,15 @@ def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("id", "id_a", F.round("dice", 6).alias("dice"))
 
 
+def candidate_map_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidate records by the maps of the export form, and the size of each B record's map."""
+    maps = _copy_links(spark, sf).candidate_maps(["id"])
+    counted = maps.select("id", F.col("busca.pares_candidatos").alias("m"), F.col("busca.baseA").alias("best_a"))
+    return counted.select("id", "best_a", F.size("m").cast("bigint").alias("entries"), F.explode("m").alias("id_a", "value")).select(
+        "id", "best_a", "entries", "id_a", F.round(F.col("value").cast("double"), 6).alias("dice")
+    )
+
+
 def pair_verdicts_copies(spark: SparkSession, sf: str) -> DataFrame:
     return _copy_links(spark, sf).verdicts().select("id", "VP", "FP", "VN", "FN")
 
@@ -381,6 +390,17 @@ def append_twice(spark: SparkSession, sf: str) -> DataFrame:
     return read_delimited(spark, path, schema="id bigint, state string, Tipo_erro string").select("Tipo_erro", "id", "state")
 
 
+def append_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Results written twice under one run and once under another, and read back: each run's rows stand once."""
+    path = fresh_path(spark, "results")
+    damaged = inject_errors(people_of(spark, sf), WEIGHTS, SEED).select("id", "state", F.col("error_type").alias("Tipo_erro"))
+    append_results(damaged, path, run="first/1")
+    append_results(damaged.where("id % 2 = 0"), path, run="second")
+    append_results(damaged.where("id % 3 = 0"), path, run="first/1")
+    rows = read_delimited(spark, path, schema="id bigint, state string, Tipo_erro string, run string")
+    return rows.select("run", "Tipo_erro", "id", "state")
+
+
 def sweep_links(spark: SparkSession, sf: str) -> DataFrame:
     people = stored_people(spark, sf)
     found = linkage.link_synthetic(side_a(people), side_b(people), SWEEP)
@@ -450,11 +470,13 @@ def all_queries() -> dict[str, Query]:
         "report_by_error_triple": report_by_error_triple,
         "link_repeated_ids": link_repeated_ids,
         "candidate_pairs": candidate_pairs,
+        "candidate_map_copies": candidate_map_copies,
         "pair_verdicts_copies": pair_verdicts_copies,
         "report_by_error_copies": report_by_error_copies,
         "slice_ties": slice_ties,
         "folder_scan": folder_scan,
         "append_results": append_twice,
+        "append_runs": append_runs,
         "zip_join": zip_join,
         "synthetic_dates": synthetic_dates,
         "synthetic_base": synthetic,

@@ -114,13 +114,18 @@ class Links:
         return evaluate.curve_summary(evaluate.roc_points(self.matches))
 
     def verdicts(self, summary: DataFrame | None = None) -> DataFrame:
-        aliases = self._per_run(self.encoded.distinct.aliases())
+        distinct = self.encoded.distinct
+        aliases = self._per_run(distinct.aliases()) if distinct.has_copies else None
         return evaluate.pair_verdicts(self.matches, self.summary() if summary is None else summary, aliases)
 
     def candidate_pairs(self, keep: list[str]) -> DataFrame:
         """All candidate records of A for every B record, copies included: (config_id, keep..., id_a, dice)."""
         return match.candidate_pairs(self.matches, self._per_run(self.encoded.distinct.aliases()), keep)
 
+    def candidate_maps(self, keep: list[str], **options) -> DataFrame:
+        """Best link and a map of all candidate records for every B record: (config_id, keep..., part, parts, busca)."""
+        return match.candidate_maps(self.matches, self._per_run(self.encoded.distinct.members()), keep, **options)
+
     def size_a(self) -> DataFrame:
         return self._per_run(sizes_of(self.encoded.a.frame, "size_a"))
 

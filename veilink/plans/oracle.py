@@ -716,6 +716,11 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
             "select id, id_a, round(dice, 6) as dice from l_cand",
             *on_sides(COPIES_A, MAIN, [damaged(5)], "id", False), recursive=True,
         ),
+        "candidate_map_copies": query(
+            "select c.id, -top.r as best_a, count(*) over (partition by c.id) as entries, c.id_a, "
+            "round(cast(cast(c.dice as float) as double), 6) as dice from l_cand c left join l_best using (id)",
+            *on_sides(COPIES_A, MAIN, [damaged(5)], "id", False), recursive=True,
+        ),
         "pair_verdicts_copies": query(
             "select id, VP, FP, VN, FN from verdicts", *on_sides(COPIES_A, MAIN, [damaged(5)]), CURVE, verdicts(None), recursive=True
         ),
@@ -729,6 +734,10 @@ z as (select x.ordinal, x.id, x.name, x.state, y.id as id_2, y.name as guardian
         "append_results": query(
             "select error_type as \"Tipo_erro\", id, state from b union all select error_type, id, state from b", PEOPLE, damaged(5)
         ),
+        "append_runs": query(
+            "select 'first/1' as run, error_type as \"Tipo_erro\", id, state from b where id % 3 = 0 "
+            "union all select 'second', error_type, id, state from b where id % 2 = 0", PEOPLE, damaged(5),
+        ),
         "zip_join": query("select ordinal, id, name, id_2, guardian from z", PEOPLE, *two_samples, zipped),
         "synthetic_dates": query(
             f"select r.id, {inverse('r.id', SEED)} as data_nasc from {at_draw('people', 'r.id', SEED)}",

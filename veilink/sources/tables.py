@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -46,9 +48,17 @@ def write_base(base: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
-def append_results(results: DataFrame, path: str, by: str = "Tipo_erro", fmt: str = "csv") -> None:
-    """Append reports or links, one folder per error type, in one job."""
-    writer = results.write.mode("append").partitionBy(by)
+def append_results(results: DataFrame, path: str, by: str = "Tipo_erro", fmt: str = "csv", run: str | None = None) -> None:
+    """Append reports or links, one folder per error type, in one job.
+
+    With ``run`` the rows stand in a folder of that run, which is replaced as a whole: a run that is retried or repeated
+    leaves its rows once, and those of other runs stay.  ``run`` comes back as a column where the path is read.
+    """
+    writer = results.write.partitionBy(by)
+    if run is None:
+        writer = writer.mode("append")
+    else:
+        path, writer = f"{path.rstrip('/')}/run={quote(run, safe='')}", writer.mode("overwrite").option("partitionOverwriteMode", "static")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
