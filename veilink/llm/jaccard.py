@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from veilink.llm import chunks, words
 from veilink.llm.chunks import Chunk
 from veilink.llm.components import components
-from veilink.sources.store import store
+from veilink.sources.store import Stored, store
 
 SETS = "doc_id long, n long, items array<long>"
 PAIRS = "a long, b long"
@@ -71,7 +71,7 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shared_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def shared_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> Stored:
     """(doc_id, n, items): the set size, and the shared shingles from rare to common where enough are shared."""
     base = chunks.write_chunks(docs, id_col, text_col, "shingles")
 
@@ -98,7 +98,7 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     bits = chunks.range_bits(base.seen["bytes"] / 6)
     answers = chunks.ask(base.frame, keys_of, bits, 4, _spread)
-    sets = store(chunks.told(base.frame, answers, use, SETS), "sets").frame
+    sets = store(chunks.told(base.frame, answers, use, SETS), "sets")
     base.drop()
     return sets
 
@@ -161,36 +161,42 @@ def similarity_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets = shared_sets(docs, id_col, text_col, size, percent)
+    stored = shared_sets(docs, id_col, text_col, size, percent)
+    sizes = store(stored.frame.select("doc_id", "n"), "set-sizes").frame
     same = ["n", "k1", "k2"]
-    able = sets.where("items IS NOT NULL").withColumns({"k1": F.xxhash64("items"), "k2": F.hash("items")})
+    able = stored.frame.where("items IS NOT NULL").withColumns({"k1": F.xxhash64("items"), "k2": F.hash("items")})
     # equal sets: one representative; a set with shingles of its own has no equal
     own = F.when(F.size("items") < F.col("n"), F.col("doc_id"))
     keyed = able.select("doc_id", *same, own.alias("own"))
     kept = keyed.where("own IS NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     twins = keyed.where("own IS NULL").join(kept, same).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"), *same).where("a <> b")
-    twins = store(twins, "twins").frame
+    twins = store(twins, "twins")
     # only the equal set goes: another text of the same id has links of its own
-    gone = twins.select(F.col("b").alias("doc_id"), *same).distinct()
-    reps = store(able.join(gone, ["doc_id", *same], "left_anti").drop("k1", "k2"), "representatives").frame
+    gone = twins.frame.select(F.col("b").alias("doc_id"), *same).distinct()
+    whole = store(able.join(gone, ["doc_id", *same], "left_anti").drop("k1", "k2"), "representatives")
+    reps = whole.frame
+    stored.drop()  # what follows needs the representatives' items and all sizes
 
     lists = _short_lists(reps, percent)
     head = F.min_by(F.struct("doc_id", "n", "place"), "doc_id")
     heads = lists.groupBy("shingle").agg(head.alias("h"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     heads = heads.select("shingle", F.col("h.doc_id").alias("a_doc_id"), F.col("h.n").alias("a_n"), F.col("h.place").alias("a_place"))
     stars = _pairs(_side(lists, "b").join(heads, "shingle"), percent)
-    links = store(probed(stars, reps, percent).unionByName(twins.select("a", "b")), "links").frame
+    links = store(probed(stars, reps, percent).unionByName(twins.frame.select("a", "b")), "links").frame
+    twins.drop()
     classes = store(components(links), "classes").frame
 
     labelled = reps.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("class", F.coalesce("component", "doc_id")).drop("component")
     lists = _short_lists(labelled, percent, "class")
     mixed = lists.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("shingle")
-    lists = store(lists.join(mixed, "shingle"), "mixed").frame
-    across = _side(lists, "a").join(_side(lists, "b"), "shingle").where("a_class < b_class")
+    shared = store(lists.join(mixed, "shingle"), "mixed")
+    across = _side(shared.frame, "a").join(_side(shared.frame, "b"), "shingle").where("a_class < b_class")
     more = store(probed(_pairs(across, percent), reps, percent), "links")
+    shared.drop()
+    whole.drop()
     if more.rows:
         classes = store(components(links.unionByName(more.frame)), "classes").frame
-    return sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    return sizes.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
