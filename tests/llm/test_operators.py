@@ -307,6 +307,15 @@ def test_classifier(spark):
     assert len(nothing) == 424 and all(r.kept for r in nothing)
 
 
+def test_classifier_on_columns_of_its_own_names(spark):
+    rows = [(i, "good words " * 30, "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = docs.withColumns({c: F.lit("x") for c in ("_m", "m", "t", "i", "_text", "_n", "share")})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    plain = {r.doc_id: (r.log10_prob, r.kept) for r in kneser.judged(docs, labels).collect()}
+    assert plain == {r.doc_id: (r.log10_prob, r.kept) for r in kneser.judged(clash, labels, keep=["doc_id", "_m", "share"]).collect()}
+
+
 def test_no_threshold_from_fitted_texts(spark):
     """Fewer trusted documents than the fitting sample takes: clean unlabelled texts of large and small languages stay."""
     rng = random.Random(16)
