@@ -22,30 +22,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each similarity class: the one with the smallest id; rows that repeat an id are told apart by their contents."""
+    clear = "_" * max(map(len, docs.columns))  # longer than any name in use
+    key, again = f"{clear}key", f"{clear}again"
     counts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    repeats = store(counts.select("doc_id", F.lit(True).alias("_again")), "repeated-ids")
+    repeats = store(counts.select("doc_id", F.lit(True).alias(again)), "repeated-ids")
     if repeats.rows:
-        contents = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+        contents = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
         met = docs.join(repeats.small_side(64), "doc_id", "left")
-        keyed = met.withColumn("_key", F.when(F.col("_again"), contents).otherwise(F.col("doc_id"))).drop("_again")
-        classes = jaccard.similarity_classes(keyed, id_col="_key").withColumnRenamed("doc_id", "_key")
-        ids = keyed.select("_key", "doc_id").where("_key IS NOT NULL").distinct()
-        order = F.struct("doc_id", "_key")
-        first = classes.join(ids, "_key").groupBy("component_id").agg(F.min_by("_key", order).alias("_key")).select("_key")
-        kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+        keyed = met.withColumn(key, F.when(F.col(again), contents).otherwise(F.col("doc_id"))).drop(again)
+        classes = jaccard.similarity_classes(keyed, id_col=key).withColumnRenamed("doc_id", key)
+        ids = keyed.select(key, "doc_id").where(F.col(key).isNotNull()).distinct()
+        order = F.struct("doc_id", key)
+        first = classes.join(ids, key).groupBy("component_id").agg(F.min_by(key, order).alias(key)).select(key)
+        kept = keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key).select(*docs.columns)
     else:
         first = jaccard.similarity_classes(docs).where("doc_id = component_id").select("doc_id")
         kept = docs.join(first, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
+# to the last digit that the types hold
+PRECISE = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that an earlier document holds; ``n_chars`` follows."""
     others = [c for c in docs.columns if c != "text"]
-    carried = F.to_json(F.struct(*others))
+    carried = F.to_json(F.struct(*others), PRECISE)
     found = substring.remove_repeats(docs, with_text=True, carry=carried)
     whole = docs.select(*others).schema
-    rows = found.select(F.col("kept").alias("text"), F.from_json("carried", whole).alias("r")).select("text", "r.*")
+    rows = found.select(F.col("kept").alias("text"), F.from_json("carried", whole, PRECISE).alias("r")).select("text", "r.*")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
