@@ -70,3 +70,22 @@ def test_run(spark):
     assert sorted(map(repr, docs.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(
         map(repr, got.select("doc_id", "start", "length", "ids_crc32").collect())
     )
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "repeated_passages"])
+def test_columns_of_any_name_and_type_pass(spark, docs, name):
+    """Names the stages use themselves, timestamps to the microsecond, binary, decimals, arrays; with a repeated id."""
+    extra = {
+        "_key": "cast(doc_id as string)", "_again": "true", "_m": "3", "_row": "'r'", "at": "timestamp'2024-05-06 07:08:09.123456'",
+        "local": "timestamp_ntz'2024-05-06 07:08:09.123456'", "raw": "X'00FF'", "price": "cast('1234567890.123456789' as decimal(30,9))",
+        "parts": "array(1.5D, null)", "day": "date'2024-02-29'",
+    }
+    from pyspark.sql import functions as F
+
+    wide = docs.withColumns({c: F.expr(e) for c, e in extra.items()})
+    got = stage(name)(spark, wide, SMALL)
+    assert got.dtypes == wide.dtypes
+    before = {r.doc_id: r for r in wide.collect()}
+    rows = got.collect()
+    assert len(rows) >= 60
+    assert all([r[c] for c in extra] == [before[r.doc_id][c] for c in extra] for r in rows if r.doc_id is not None)
