@@ -273,8 +273,34 @@ def test_bilinear_learns_order(spark):
 
 def test_bilinear_is_normalised():
     model = bilinear.Model.start(np.arange(1.0, 51.0))
-    logs = model.log_softmax(np.arange(10), np.arange(10) + 3)
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+    every = np.arange(50)
+    for one, two in ((0, 0), (7, 3), (49, 1)):
+        logs = model.log_prob(every, np.full(50, one), np.full(50, two))
+        assert math.isclose(np.exp(logs).sum(), 1, abs_tol=1e-4)
+
+
+def test_bilinear_without_words():
+    model = bilinear.Model.start(np.array([3.0, 0.0]))
+    logs = model.log_prob(np.array([0, 1]), np.array([0, 0]), np.array([0, 0]))
+    assert math.isclose(np.exp(logs).sum(), 1, abs_tol=1e-4)
+
+
+def test_bilinear_scores_do_not_depend_on_partitions(spark):
+    """At the registered parameters: the same scores from one and from seven partitions, better than the base on held-out text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r for r in bilinear.score(docs.coalesce(1)).collect()}
+    many = bilinear.score(docs.repartition(7)).collect()
+    assert len(many) == len(one)
+    assert all(math.isclose(r.score, one[r.doc_id].score, rel_tol=1e-6) for r in many)
+    held = [r for r in many if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_bilinear_repeated_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (None, "a b"), (None, "a b"), (2, None)]
+    got = bilinear.score(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (0, 3), (1, 3), (1, 4), (1, 4), (2, 1)]
+    assert len({r.score for r in got if r.doc_id == 1 and r.n_tokens == 4}) == 1
 
 
 def test_kneser_ney_is_normalised(spark):

@@ -1,31 +1,42 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Vocabulary: the end mark, one class for rarer words, and the ``words`` most frequent training words.  The score of the
-next token is q(w) . sum_i c_i * r(h_i) + b(w) over the two tokens before it; a log-softmax over the whole vocabulary, as
-one matrix product per batch of distinct contexts, gives normalised probabilities.  A word of the rare class has that
-class's probability times its own share in it, (c + 0.5) / (n + 0.5 (v + 1)) with the corpus counts, so the model is
-normalised over all words, unseen ones together counting as one.
+Vocabulary: the end mark, one entry for rarer words, and the most frequent training words, ``growth`` for each unit of the
+cube root of the number of training words, so it grows with the corpus (some 2,000 at 0.5 million words, 36,000 at 3.6
+billion).  Words are dealt to classes by frequency rank, about as many classes as words in one.  After the tokens h1, h2
+
+    x = c_1 * r(h1) + c_2 * r(h2)
+    p(w | h1 h2) = softmax over classes(x . s + a)[class of w]  x  softmax over the class(x . q + b)[w]
+
+as matrix products per slice of tokens, normalised in both factors.  The end mark and the rarer words are classes of one
+entry; a rarer word has that entry's probability times its own share in it, (c + 0.5) / (n + 0.5 (v + 1)) with the corpus
+counts, so the model is normalised over all words, unseen ones together counting as one.
 
 1. One round over chunks counts every token of the training documents over the whole corpus; every chunk learns the
-   counts of its words and turns its texts into short token numbers.
-2. Training passes: every task takes the current parameters, goes once through its part of the training tokens (data
-   against shared noise samples, Adagrad), and the results are averaged in Spark, weighted by tokens.
+   counts of its words and turns its texts into token numbers.
+2. A training pass has ``ROUNDS`` rounds.  A training document belongs to one round and one share of it by a hash of its
+   id and tokens.  Each share starts from the current parameters and goes once through its documents in the order of the
+   hash (data against noise samples, Adagrad); the results are averaged in Spark, weighted by tokens.  Neither shares nor
+   their order depend on how the input is partitioned; only rows that repeat both id and text are dealt by their place.
+   The number of shares grows with the square root of the tokens, so work per share and bytes averaged stay in balance.
 3. Every document is scored.
 
-The model has a fixed size, so it is sent to every task; counts and texts stay where they are.
+The parameters take 65 numbers for each word of the vocabulary, which the cube root bounds (170 MB at 20 trillion words);
+they are sent to every task.  Counts and texts stay where they are.
 
-Defined results: null or empty text is the end mark alone; a null id counts as the empty text for the split; without
-training documents the base is 0 and the model's parameters stay at their start.
+Defined results: null or empty text is the end mark alone; a null id counts as the empty text for the split; rows that
+repeat an id are scored each; without training documents the base is 0 and the model's parameters stay at their start.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from veilink.llm import chunks, words
@@ -33,11 +44,15 @@ from veilink.llm.chunks import Chunk
 from veilink.sources.store import store
 
 END, RARE = 0, 1
-WORDS = 510
+GROWTH = 24
 DIM = 32
-BATCH, NOISE, RATE = 4096, 64, 0.05
+BATCH, NOISE, OWN_NOISE, RATE = 2048, 32, 4, 0.05
+ROUNDS, SHARE_TOKENS, PIECE = 4, 1 << 20, 1 << 18
+SLICE = 1 << 14
 
 TOKENS = "part long, ids array<long>, sizes array<int>, tokens binary, rare array<double>, known array<long>, base array<double>"
+SHARES = "share int, key long, id long, tokens binary"
+BLOCKS = "block int, share int, weight double, numbers binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -46,28 +61,68 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(text) % 5 == 1
 
 
+def classes(size: int) -> np.ndarray:
+    """Where each class begins among the ``size`` entries, and the end: one entry each for END and RARE, then equal widths."""
+    width = max(1, math.ceil(math.sqrt(size)))
+    return np.concatenate(([END, RARE], np.arange(2, size, width), [size]))
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
 class Model:
-    """Parameters in one flat array: contexts r, targets q, position weights c, biases b."""
+    """Parameters in one flat array: contexts r, targets q, biases b, classes s with biases a, position weights c."""
 
     def __init__(self, size: int, flat: np.ndarray) -> None:
         self.size, self.flat = size, flat
-        cut = np.split(flat, np.cumsum([size * DIM, size * DIM, 2 * DIM]))
-        self.r, self.q, self.c, self.b = cut[0].reshape(size, DIM), cut[1].reshape(size, DIM), cut[2].reshape(2, DIM), cut[3]
+        self.begins = classes(size)
+        self.of = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
+        n = len(self.begins) - 1
+        cut = np.split(flat, np.cumsum([size * DIM, size * DIM, size, n * DIM, n]))
+        self.r, self.q, self.s, self.c = (cut[i].reshape(-1, DIM) for i in (0, 1, 3, 5))
+        self.b, self.a = cut[2], cut[4]
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 5) -> "Model":
+        """Small random vectors, biases at the shares of the counts."""
         size, rng = len(counts), np.random.default_rng(seed)
-        share = (counts + 0.5) / (counts + 0.5).sum()
-        parts = [rng.normal(0, 0.1, 2 * size * DIM), np.ones(2 * DIM), np.log(share)]
+        of_class, within = shares(counts)
+        vectors = rng.normal(0, 0.1, (2 * size + len(of_class)) * DIM)
+        parts = [vectors[: 2 * size * DIM], np.log(within), vectors[2 * size * DIM :], np.log(of_class), np.ones(2 * DIM)]
         return cls(size, np.concatenate(parts).astype(np.float32))
 
-    def log_softmax(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities of the whole vocabulary after each pair of tokens."""
-        x = (self.r[first] * self.c[0] + self.r[second] * self.c[1]) @ self.q.T
-        x += self.b
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return x
+    def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.r[one] * self.c[0] + self.r[two] * self.c[1]
+
+    def log_prob(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Normalised log-probability of every token ``w`` after the tokens ``one`` and, before that, ``two``."""
+        out = np.empty(len(w))
+        for at in range(0, len(w), SLICE):
+            here = w[at : at + SLICE].astype(np.int64)
+            after = one[at : at + SLICE].astype(np.int64) * self.size + two[at : at + SLICE]
+            pairs, inverse = np.unique(after, return_inverse=True)
+            x = self.hidden(pairs // self.size, pairs % self.size)
+            of = self.of[here]
+            logs = _log_softmax(x @ self.s.T + self.a)[inverse, of].astype(np.float64)
+            order = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[order], np.arange(len(self.begins)))
+            for k in np.unique(of[of > RARE]):
+                which, lo, hi = order[edges[k] : edges[k + 1]], self.begins[k], self.begins[k + 1]
+                inner = _log_softmax(x[inverse[which]] @ self.q[lo:hi].T + self.b[lo:hi])
+                logs[which] += inner[np.arange(len(which)), here[which] - lo]
+            out[at : at + SLICE] = logs
+        return out
+
+
+def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of every class, and of every entry in its class."""
+    begins = classes(len(counts))
+    smooth = counts + 0.5
+    total = np.add.reduceat(smooth, begins[:-1])
+    return total / total.sum(), smooth / np.repeat(total, np.diff(begins))
 
 
 def contexts(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,32 +147,47 @@ def _add_rows(to: np.ndarray, seen: np.ndarray, at: np.ndarray, rows: np.ndarray
     to[which] += RATE * step / np.sqrt(seen[which] + 1e-6)
 
 
-def train(model: Model, memory: Model, tokens: np.ndarray, begins: np.ndarray, noise: np.ndarray, rng) -> None:
-    """One pass of noise-contrastive estimation: data tokens against NOISE samples shared by a batch."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def train(model: Model, memory: Model, tokens: np.ndarray, begins: np.ndarray, counts: np.ndarray, rng) -> None:
+    """One pass of noise-contrastive estimation: classes against NOISE samples shared by a batch, words against OWN_NOISE of their class."""
     one, two = contexts(tokens, begins)
-    prior = np.log(NOISE * noise).astype(np.float32)
-    edges = np.cumsum(noise)
+    of_class, within = shares(counts)
+    class_prior, prior = np.log(NOISE * of_class).astype(np.float32), np.log(OWN_NOISE * within).astype(np.float32)
+    class_edges = np.cumsum(of_class)
+    edges = np.concatenate(([0.0], np.cumsum(counts + 0.5)))
     for at in range(0, len(tokens), BATCH):
         w, h1, h2 = tokens[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH]
-        r1, r2 = model.r[h1], model.r[h2]
-        h = r1 * model.c[0] + r2 * model.c[1]
-        qw = model.q[w]
-        data = np.einsum("ij,ij->i", h, qw) + model.b[w] - prior[w]
-        up = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-        drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), len(noise) - 1)
-        qn = model.q[drawn]
-        other = h @ qn.T + (model.b[drawn] - prior[drawn])
-        down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        # gradients, summed over the batch and scaled to one token
-        scale = np.float32(1 / len(w))
-        dh = (up[:, None] * qw + down @ qn) * scale
-        dq = np.concatenate((up[:, None] * h * scale, (down.T @ h) * scale))
-        db = np.concatenate((up * scale, down.sum(axis=0) * scale))
-        targets = np.concatenate((w, drawn))
-        dc = np.stack(((dh * r1).sum(axis=0), (dh * r2).sum(axis=0)))
-        _add_rows(model.q, memory.q, targets, dq)
-        _add_rows(model.b.reshape(-1, 1), memory.b.reshape(-1, 1), targets, db.reshape(-1, 1))
-        _add_rows(model.r, memory.r, np.concatenate((h1, h2)), np.concatenate((dh * model.c[0], dh * model.c[1])))
+        r1, r2, of = model.r[h1], model.r[h2], model.of[w]
+        x = r1 * model.c[0] + r2 * model.c[1]
+        # the class
+        drawn = np.minimum(np.searchsorted(class_edges, rng.random(NOISE) * class_edges[-1]), len(of_class) - 1)
+        up = _sigmoid(class_prior[of] - np.einsum("ij,ij->i", x, model.s[of]) - model.a[of])
+        down = -_sigmoid(x @ model.s[drawn].T + (model.a[drawn] - class_prior[drawn]))
+        dx = up[:, None] * model.s[of] + down @ model.s[drawn]
+        ds = np.concatenate((up[:, None] * x, down.T @ x))
+        da = np.concatenate((up, down.sum(axis=0)))
+        aims = np.concatenate((of, drawn))
+        # the word in its class
+        inner = np.flatnonzero(of > RARE)
+        lo, hi = edges[model.begins[of[inner]]], edges[model.begins[of[inner] + 1]]
+        own = np.searchsorted(edges, lo[:, None] + rng.random((len(inner), OWN_NOISE)) * (hi - lo)[:, None], side="right") - 1
+        own = np.clip(own, model.begins[of[inner]][:, None], model.begins[of[inner] + 1][:, None] - 1)
+        both = np.concatenate((w[inner][:, None], own), axis=1)
+        q = model.q[both]
+        push = -_sigmoid(np.matmul(q, x[inner][:, :, None])[:, :, 0] + model.b[both] - prior[both])
+        push[:, 0] += 1
+        dx[inner] += np.matmul(push[:, None, :], q)[:, 0]
+        dq = (push[:, :, None] * x[inner][:, None, :]).reshape(-1, DIM)
+        dc = np.stack(((dx * r1).sum(axis=0), (dx * r2).sum(axis=0)))
+        _add_rows(model.s, memory.s, aims, ds)
+        _add_rows(model.a.reshape(-1, 1), memory.a.reshape(-1, 1), aims, da.reshape(-1, 1))
+        if len(inner):
+            _add_rows(model.q, memory.q, both.ravel(), dq)
+            _add_rows(model.b.reshape(-1, 1), memory.b.reshape(-1, 1), both.ravel(), push.reshape(-1, 1))
+        _add_rows(model.r, memory.r, np.concatenate((h1, h2)), np.concatenate((dx * model.c[0], dx * model.c[1])))
         memory.c += dc * dc
         model.c += RATE * dc / np.sqrt(memory.c + 1e-6)
 
@@ -129,29 +199,29 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _averaged(trained: DataFrame, length: int) -> np.ndarray:
-    """Token-weighted mean of the tasks' parameters: block by block, first within shares of the tasks."""
-    schema, ddl = chunks.arrow_schema("block int, share int, weight double, total binary"), "block int, share int, weight double, total binary"
+    """Token-weighted mean of the shares' parameters, block by block; empty if nothing was trained."""
+    ddl = "block int, weight double, numbers binary"
 
     def add(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["share"], r["weight"], r["total"]))
-        total = np.sum([np.frombuffer(r["total"]) for r in rows], axis=0)
-        row = {"block": rows[0]["block"], "share": rows[0]["share"], "weight": sum(r["weight"] for r in rows), "total": total.tobytes()}
-        return pa.Table.from_pylist([row], schema=schema)
+        rows = sorted(table.to_pylist(), key=lambda r: r["share"])
+        weight = sum(r["weight"] for r in rows)
+        total = sum(np.frombuffer(r["numbers"], np.float32) * r["weight"] for r in rows)
+        mean = (total / weight).astype(np.float32)
+        return pa.Table.from_pylist([{"block": rows[0]["block"], "weight": weight, "numbers": mean.tobytes()}], schema=chunks.arrow_schema(ddl))
 
-    by_share = trained.groupBy("block", "share").applyInArrow(add, ddl)
-    rows = by_share.groupBy("block").applyInArrow(add, ddl).orderBy("block").collect()
-    if not rows or not rows[0].weight:
-        return np.zeros(0)
-    return np.concatenate([np.frombuffer(r.total) / r.weight for r in rows])[:length]
+    # as long as the parameters
+    rows = trained.groupBy("block").applyInArrow(add, ddl).orderBy("block").collect()
+    return np.concatenate([np.frombuffer(r.numbers, np.float32) for r in rows])[:length] if rows else np.zeros(0, np.float32)
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = WORDS, passes: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", growth: float = GROWTH, passes: int = 1
 ) -> DataFrame:
     """One row per document with the unigram base and the model's log10 probability of its whole text."""
     base = chunks.write_chunks(docs, id_col, text_col, "lm")
     bits = chunks.range_bits(base.seen["bytes"] / 20)
     cut = np.uint64(64 - bits - 48)
+    most = math.floor(growth * base.seen["bytes"] ** (1 / 3))  # no more words than bytes
 
     def named(chunk: Chunk):
         first, last, bounds = words.word_spans(chunk.data, chunk.offsets)
@@ -170,7 +240,7 @@ def score(
     def frequent(number: int, found: np.ndarray, group: np.ndarray, owner: np.ndarray) -> bytes:
         """[words, distinct words, (name, count) of the most frequent] of one range."""
         count = sums(group, owner)
-        top = np.lexsort((found, -count))[:vocabulary]
+        top = np.lexsort((found, -count))[:most]
         top = top[count[top] > 0]
         names = (found[top].astype(np.uint64) + (np.uint64(number) << np.uint64(48))).view(np.int64)
         return np.concatenate(([count.sum(), (count > 0).sum()], np.stack((names, count[top])).T.ravel())).astype(np.int64).tobytes()
@@ -188,6 +258,7 @@ def score(
 
     facts = store(about.mapInArrow(spread, "total long, kinds long, name long, count long"), "lm-frequent").frame
     sizes = facts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    vocabulary = math.floor(growth * sizes.n ** (1 / 3))
     best = facts.where("count > 0").orderBy(F.desc("count"), "name").limit(vocabulary).collect()
     each = base.frame.select(F.explode("ids").alias("i"))
     text = F.when(F.col("i") == chunks.NO_ID, F.lit("")).otherwise(F.col("i").cast("string"))
@@ -196,14 +267,14 @@ def score(
     top = np.array([r.name for r in best], np.int64)
     top_counts = np.array([r["count"] for r in best], np.int64)
     order = np.argsort(top)
-    top, top_rank = top[order], order + 2
+    top, top_rank = top[order], (order + 2).astype(np.uint32)
     rare_n, rare_v = sizes.n - int(top_counts.sum()), sizes.v - len(best)
     counts = np.concatenate(([ends, rare_n], top_counts)).astype(np.float64)
 
     def number(chunk: Chunk, said: np.ndarray) -> list[dict]:
         found, inverse, bounds = named(chunk)
         short = (found >> cut).view(np.int64)
-        kind = np.full(len(found), RARE, np.uint16)
+        kind = np.full(len(found), RARE, np.uint32)
         if len(top) and len(found):
             spot = np.minimum(np.searchsorted(top, short), len(top) - 1)
             hit = top[spot] == short
@@ -213,7 +284,7 @@ def score(
         at_end = np.cumsum(lengths) - 1
         inner = np.ones(total, bool)
         inner[at_end] = False
-        tokens = np.zeros(total, np.uint16)
+        tokens = np.zeros(total, np.uint32)
         tokens[inner] = kind[inverse]
         count = np.full(total, ends, np.int64)
         count[inner] = said[inverse] if len(found) else 0
@@ -228,36 +299,66 @@ def score(
 
     numbered = store(chunks.told(base.frame, answers.where("chunk >= 0"), number, TOKENS, "int64"), "lm-tokens").frame
     base.drop()
-    start = Model.start(counts)
-    size, noise = start.size, (counts + 0.5) / (counts + 0.5).sum()
-    block = 4096
-    flat = start.flat
-    sharing = 64
+    flat, size, block = Model.start(counts).flat, len(counts), 1024
+    per_round = max(1, math.ceil(math.sqrt(n / SHARE_TOKENS)))
 
-    def trainer(flat: np.ndarray, turn: int):
+    def dealt(turn: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, memory = Model(size, flat.copy()), Model(size, np.zeros_like(flat))
-            weight, part = 0, TaskContext.get().partitionId()
             for row in _rows_of(batches):
-                lengths = np.array(row["sizes"])
-                mine = np.repeat([not held_out(i) for i in row["ids"]], lengths)
-                kept = lengths[[not held_out(i) for i in row["ids"]]]
-                tokens = chunks.loosen(row["tokens"], "uint16")[mine]
-                if len(tokens):
-                    train(model, memory, tokens, np.cumsum(kept) - kept, noise, np.random.default_rng([turn, row["part"]]))
-                    weight += len(tokens)
-            if weight:
-                sent = model.flat.astype(np.float64) * weight
-                for b in range(0, len(sent), block):
-                    row = {"block": b // block, "share": part % sharing, "weight": float(weight), "total": sent[b : b + block].tobytes()}
-                    yield pa.RecordBatch.from_pylist([row], schema=chunks.arrow_schema("block int, share int, weight double, total binary"))
+                texts = np.split(chunks.loosen(row["tokens"], "uint32"), np.cumsum(row["sizes"])[:-1])
+                seen, out = Counter(), []
+                for i, tokens in zip(row["ids"], texts, strict=True):
+                    if held_out(i):
+                        continue
+                    told = hashlib.blake2b(tokens.tobytes(), digest_size=8, key=i.to_bytes(8, "little", signed=True)).digest()
+                    seen[told] += 1
+                    if seen[told] > 1:
+                        told = hashlib.blake2b(told, digest_size=8, key=seen[told].to_bytes(8, "little")).digest()
+                    key = int.from_bytes(told, "little") >> 1
+                    if key % ROUNDS == turn:
+                        out.append({"share": key // ROUNDS % per_round, "key": key, "id": i, "tokens": tokens.tobytes()})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=chunks.arrow_schema(SHARES))
+
+        return work
+
+    def trainer(flat: np.ndarray, turn: int):
+        def sent(share: int, model: Model, weight: int) -> pa.RecordBatch:
+            cut = range(0, len(model.flat), block)
+            rows = [{"block": b // block, "share": share, "weight": float(weight), "numbers": model.flat[b : b + block].tobytes()} for b in cut]
+            return pa.RecordBatch.from_pylist(rows, schema=chunks.arrow_schema(BLOCKS))
+
+        def learn(model: Model, memory: Model, texts: list[bytes], seed: list[int]) -> int:
+            lengths = np.array([len(t) // 4 for t in texts])
+            train(model, memory, np.frombuffer(b"".join(texts), np.uint32), np.cumsum(lengths) - lengths, counts, np.random.default_rng(seed))
+            return int(lengths.sum())
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            share, weight, pieces, texts, held = -1, 0, 0, [], 0
+            model = memory = None
+            for batch in batches:
+                for of, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if texts and (of != share or held >= PIECE):
+                        weight += learn(model, memory, texts, [turn, share, pieces])
+                        texts, held, pieces = [], 0, pieces + 1
+                    if of != share:
+                        if weight:
+                            yield sent(share, model, weight)
+                        share, weight, pieces = of, 0, 0
+                        model, memory = Model(size, flat.copy()), Model(size, np.zeros_like(flat))
+                    texts.append(tokens.as_py())
+                    held += len(texts[-1]) // 4
+            if texts:
+                weight += learn(model, memory, texts, [turn, share, pieces])
+                yield sent(share, model, weight)
 
         return work
 
-    for turn in range(passes):
-        trained = numbered.select("part", "ids", "sizes", "tokens").mapInArrow(trainer(flat, turn), "block int, share int, weight double, total binary")
-        mean = _averaged(trained, len(flat))
-        flat = mean.astype(np.float32) if len(mean) else flat
+    for turn in range(passes * ROUNDS):
+        rows = numbered.select("ids", "sizes", "tokens").mapInArrow(dealt(turn % ROUNDS), SHARES)
+        ordered = rows.repartition(per_round, "share").sortWithinPartitions("share", "key", "id", "tokens").select("share", "tokens")
+        mean = _averaged(ordered.mapInArrow(trainer(flat, turn), BLOCKS), len(flat))
+        flat = mean if len(mean) else flat
 
     out_schema = chunks.arrow_schema(SCORES)
 
@@ -265,18 +366,10 @@ def score(
         model = Model(size, flat)
         for row in _rows_of(batches):
             lengths = np.array(row["sizes"])
-            tokens = chunks.loosen(row["tokens"], "uint16")
+            tokens = chunks.loosen(row["tokens"], "uint32")
             begins = np.cumsum(lengths) - lengths
             one, two = contexts(tokens, begins)
-            pairs, inverse = np.unique(one.astype(np.int64) * size + two, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            edges = np.searchsorted(inverse[order], np.arange(0, len(pairs) + 2048, 2048))
-            logs = np.empty(len(tokens))
-            for b in range(len(edges) - 1):
-                which = order[edges[b] : edges[b + 1]]
-                here = pairs[b * 2048 : (b + 1) * 2048]
-                table = model.log_softmax(here // size, here % size)
-                logs[which] = table[inverse[which] - b * 2048, tokens[which]]
+            logs = model.log_prob(tokens, one, two)
             total = np.add.reduceat(logs, begins) / np.log(10) + np.array(row["rare"])
             ids = row["ids"]
             yield pa.RecordBatch.from_arrays([
