@@ -48,7 +48,7 @@ GROWTH = 24
 DIM = 32
 BATCH, NOISE, OWN_NOISE, RATE = 2048, 32, 4, 0.05
 ROUNDS, SHARE_TOKENS, PIECE = 4, 1 << 20, 1 << 18
-SLICE = 1 << 14
+SLICE_NUMBERS = 1 << 22
 
 TOKENS = "part long, ids array<long>, sizes array<int>, tokens binary, rare array<double>, known array<long>, base array<double>"
 SHARES = "share int, key long, id long, tokens binary"
@@ -67,10 +67,11 @@ def classes(size: int) -> np.ndarray:
     return np.concatenate(([END, RARE], np.arange(2, size, width), [size]))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _log_softmax(x: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The named numbers of the log-softmax of each row; ``x`` is used up."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    picked = x[row, column].astype(np.float64)
+    return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))[row]
 
 
 class Model:
@@ -100,20 +101,20 @@ class Model:
     def log_prob(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log-probability of every token ``w`` after the tokens ``one`` and, before that, ``two``."""
         out = np.empty(len(w))
-        for at in range(0, len(w), SLICE):
-            here = w[at : at + SLICE].astype(np.int64)
-            after = one[at : at + SLICE].astype(np.int64) * self.size + two[at : at + SLICE]
+        step = max(1, SLICE_NUMBERS // len(self.a))
+        for at in range(0, len(w), step):
+            here = w[at : at + step].astype(np.int64)
+            after = one[at : at + step].astype(np.int64) * self.size + two[at : at + step]
             pairs, inverse = np.unique(after, return_inverse=True)
             x = self.hidden(pairs // self.size, pairs % self.size)
             of = self.of[here]
-            logs = _log_softmax(x @ self.s.T + self.a)[inverse, of].astype(np.float64)
+            logs = _log_softmax(x @ self.s.T + self.a, inverse, of)
             order = np.argsort(of, kind="stable")
             edges = np.searchsorted(of[order], np.arange(len(self.begins)))
             for k in np.unique(of[of > RARE]):
                 which, lo, hi = order[edges[k] : edges[k + 1]], self.begins[k], self.begins[k + 1]
-                inner = _log_softmax(x[inverse[which]] @ self.q[lo:hi].T + self.b[lo:hi])
-                logs[which] += inner[np.arange(len(which)), here[which] - lo]
-            out[at : at + SLICE] = logs
+                logs[which] += _log_softmax(x.take(inverse[which], axis=0) @ self.q[lo:hi].T + self.b[lo:hi], np.arange(len(which)), here[which] - lo)
+            out[at : at + step] = logs
         return out
 
 
@@ -136,15 +137,19 @@ def contexts(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def _add_rows(to: np.ndarray, seen: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """One Adagrad step for the rows of ``to`` named in ``at``."""
-    order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
+def _grouped(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal numbers below ``size`` together, where each begins in it, and the numbers."""
+    order = np.argsort(at.astype(np.uint16 if size <= 1 << 16 else np.uint32), kind="stable")  # short ones sort faster
+    at = at[order]
     begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    step = np.add.reduceat(rows, begins)
-    which = at[begins]
-    seen[which] += step * step
-    to[which] += RATE * step / np.sqrt(seen[which] + 1e-6)
+    return order, begins, at[begins]
+
+
+def _add_rows(to: np.ndarray, seen: np.ndarray, which: np.ndarray, step: np.ndarray) -> None:
+    """One Adagrad step for the rows of ``to`` named in ``which``."""
+    sums = seen.take(which, axis=0) + step * step
+    seen[which] = sums
+    to[which] = to.take(which, axis=0) + RATE * step / np.sqrt(sums + 1e-6)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -160,7 +165,7 @@ def train(model: Model, memory: Model, tokens: np.ndarray, begins: np.ndarray, c
     edges = np.concatenate(([0.0], np.cumsum(counts + 0.5)))
     for at in range(0, len(tokens), BATCH):
         w, h1, h2 = tokens[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH]
-        r1, r2, of = model.r[h1], model.r[h2], model.of[w]
+        r1, r2, of = model.r.take(h1, axis=0), model.r.take(h2, axis=0), model.of[w]
         x = r1 * model.c[0] + r2 * model.c[1]
         # the class
         drawn = np.minimum(np.searchsorted(class_edges, rng.random(NOISE) * class_edges[-1]), len(of_class) - 1)
@@ -169,25 +174,30 @@ def train(model: Model, memory: Model, tokens: np.ndarray, begins: np.ndarray, c
         dx = up[:, None] * model.s[of] + down @ model.s[drawn]
         ds = np.concatenate((up[:, None] * x, down.T @ x))
         da = np.concatenate((up, down.sum(axis=0)))
-        aims = np.concatenate((of, drawn))
+        order, first, aims = _grouped(np.concatenate((of, drawn)), len(of_class))
+        ds, da = np.add.reduceat(ds.take(order, axis=0), first), np.add.reduceat(da[order], first)
         # the word in its class
         inner = np.flatnonzero(of > RARE)
         lo, hi = edges[model.begins[of[inner]]], edges[model.begins[of[inner] + 1]]
         own = np.searchsorted(edges, lo[:, None] + rng.random((len(inner), OWN_NOISE)) * (hi - lo)[:, None], side="right") - 1
         own = np.clip(own, model.begins[of[inner]][:, None], model.begins[of[inner] + 1][:, None] - 1)
         both = np.concatenate((w[inner][:, None], own), axis=1)
-        q = model.q[both]
-        push = -_sigmoid(np.matmul(q, x[inner][:, :, None])[:, :, 0] + model.b[both] - prior[both])
+        q, inside = model.q.take(both, axis=0), x.take(inner, axis=0)
+        push = -_sigmoid(np.einsum("ikj,ij->ik", q, inside) + model.b.take(both) - prior.take(both))
         push[:, 0] += 1
-        dx[inner] += np.matmul(push[:, None, :], q)[:, 0]
-        dq = (push[:, :, None] * x[inner][:, None, :]).reshape(-1, DIM)
+        dx[inner] += np.einsum("ik,ikj->ij", push, q)
         dc = np.stack(((dx * r1).sum(axis=0), (dx * r2).sum(axis=0)))
         _add_rows(model.s, memory.s, aims, ds)
-        _add_rows(model.a.reshape(-1, 1), memory.a.reshape(-1, 1), aims, da.reshape(-1, 1))
+        _add_rows(model.a, memory.a, aims, da)
         if len(inner):
-            _add_rows(model.q, memory.q, both.ravel(), dq)
-            _add_rows(model.b.reshape(-1, 1), memory.b.reshape(-1, 1), both.ravel(), push.reshape(-1, 1))
-        _add_rows(model.r, memory.r, np.concatenate((h1, h2)), np.concatenate((dx * model.c[0], dx * model.c[1])))
+            order, first, words_of = _grouped(both.ravel(), model.size)
+            push = push.ravel()[order]
+            _add_rows(model.q, memory.q, words_of, np.add.reduceat(inside.take(order // (1 + OWN_NOISE), axis=0) * push[:, None], first))
+            _add_rows(model.b, memory.b, words_of, np.add.reduceat(push, first))
+        order, first, before = _grouped(np.concatenate((h1, h2)), model.size)
+        later = order >= len(w)
+        dr = dx.take(order - len(w) * later, axis=0) * model.c.take(later.astype(np.int64), axis=0)
+        _add_rows(model.r, memory.r, before, np.add.reduceat(dr, first))
         memory.c += dc * dc
         model.c += RATE * dc / np.sqrt(memory.c + 1e-6)
 
@@ -356,7 +366,7 @@ def score(
 
     for turn in range(passes * ROUNDS):
         rows = numbered.select("ids", "sizes", "tokens").mapInArrow(dealt(turn % ROUNDS), SHARES)
-        ordered = rows.repartition(per_round, "share").sortWithinPartitions("share", "key", "id", "tokens").select("share", "tokens")
+        ordered = rows.repartitionById(per_round, F.col("share")).sortWithinPartitions("share", "key", "id", "tokens").select("share", "tokens")
         mean = _averaged(ordered.mapInArrow(trainer(flat, turn), BLOCKS), len(flat))
         flat = mean if len(mean) else flat
 
