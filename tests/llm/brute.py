@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -150,3 +151,49 @@ def resample(rows, target, percent=10, least=20, buckets=10000, most=1, seed=202
     k = percent * len(drawn) // 100
     ranked = [(*r[1:], at + 1 if at < k else None) for at, r in enumerate(drawn)]
     return ranked + [(*r[1:], None) for r in out if r[1] is None or r[0] < least]
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over lists of words, by dictionaries; ``log10_prob`` of a text with its end mark."""
+
+    def __init__(self, texts):
+        self.c3 = Counter(g for t in texts for g in self.trigrams(t))
+        self.c2 = Counter((v, w) for _, v, w in self.c3)
+        self.c1 = Counter(w for _, w in self.c2)
+        self.d = [self._discounts(c.values()) for c in (self.c1, self.c2, self.c3)]
+        self.sums = {}
+        for order, counts in ((3, self.c3), (2, self.c2)):
+            for gram, c in counts.items():
+                total, taken = self.sums.get(gram[:-1], (0, 0.0))
+                self.sums[gram[:-1]] = total + c, taken + self._less(c, order)
+
+    @staticmethod
+    def trigrams(text):
+        before = ["<", "<", *text]
+        return list(zip(before, before[1:], [*text, None]))
+
+    @staticmethod
+    def _discounts(counts):
+        n = [max(1, sum(c == i for c in counts)) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) for i in range(3)]
+
+    def _less(self, c, order):
+        return self.d[order - 1][min(c, 3) - 1]
+
+    def p1(self, w):
+        n, taken = sum(self.c1.values()), sum(self._less(c, 1) for c in self.c1.values())
+        own = self.c1[w] - self._less(self.c1[w], 1) if w in self.c1 else 0
+        return own / n + taken / n / (len(self.c1) + 1)
+
+    def p(self, u, v, w):
+        out = self.p1(w)
+        for order, counts, gram in ((2, self.c2, (v, w)), (3, self.c3, (u, v, w))):
+            if gram[:-1] in self.sums:
+                total, taken = self.sums[gram[:-1]]
+                own = counts[gram] - self._less(counts[gram], order) if gram in counts else 0
+                out = own / total + taken / total * out
+        return out
+
+    def log10_prob(self, text):
+        return sum(math.log10(self.p(*g)) for g in self.trigrams(text))

@@ -317,6 +317,34 @@ def test_kneser_ney_is_normalised(spark):
         assert math.isclose(p.sum() + rest[0], 1, abs_tol=2e-3)
 
 
+def test_kneser_ney_equals_a_plain_model(spark):
+    """Probabilities of whole texts, of two models and one of words alone, fitted in one go."""
+    rng, words = random.Random(18), [f"k{i}" for i in range(60)]
+    text = lambda: rng.choices(words, [1 / (1 + j) for j in range(60)], k=rng.choice([0, 1, 2, 30, 200]))
+    sets = [[text() for _ in range(n)] for n in (60, 9, 30)]
+    rows = [(" ".join(t), m) for m, texts in enumerate(sets) for t in texts]
+    models = kneser.fit_each(spark.createDataFrame(rows, "t string, m int").repartition(3), 3, words_only=1)
+    plain = [brute.KneserNey(texts) for texts in sets]
+    for t in [text() for _ in range(30)] + [["k1", "unknown", "k2", "k2"]]:
+        line = " ".join(t).encode()
+        u, v, w, _, _ = kneser._grams(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
+        for model, other in zip(models[:2], plain[:2], strict=True):
+            assert math.isclose(model.log10(u, v, w).sum(), other.log10_prob(t), rel_tol=1e-6)
+        alone = sum(math.log10(plain[2].p1(x)) for x in [*t, None])
+        assert math.isclose(models[2].log10_word(w).sum(), alone, rel_tol=1e-6)
+
+
+def test_contrasts_where_one_fold_has_rejected_text(spark):
+    """The fold judged by a model of rejected text has contrasts, the other has none; both are judged by perplexity."""
+    docs = spark.createDataFrame([(i, "good words all along " * 20 + f"n{i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    sides = {r.doc_id: r.f for r in docs.select("doc_id", kneser.fold("doc_id").alias("f")).collect()}
+    labels = spark.createDataFrame([(i, int(i < 50 or f == 1), int(i >= 50 and f == 0)) for i, f in sides.items()], "doc_id long, quality int, toxic int")
+    got = kneser.judged(docs, labels).collect()
+    assert len(got) == 60
+    assert all((r.worst_words is None) == (sides[r.doc_id] == 0) for r in got)
+    assert all(r.kept for r in got if sides[r.doc_id] == 0)
+
+
 def test_classifier(spark):
     rng, words = random.Random(6), [f"g{i}" for i in range(50)]
     rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(400)]
