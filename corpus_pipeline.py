@@ -16,8 +16,10 @@ from veilink.sources.store import fresh_path, store
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    return kneser.judged(whole, labels, "_id", "_text", "_lang", keep=["_row"]).where("kept").select("_row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    whole = docs.select(others.alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    kept = kneser.judged(whole, labels, "_id", "_text", "_lang", keep=["_row", "_text"]).where("kept")
+    return kept.select("_row.*", F.col("_text").alias("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
