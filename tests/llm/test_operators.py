@@ -228,6 +228,17 @@ def test_mixing(spark):
     assert mixing.mixed(frame_).count() == sum(r.copies for r in got)
 
 
+def test_mix_does_not_depend_on_the_cells(spark, monkeypatch):
+    """More digits of the hash make more cells and take the same documents; columns named like the line's own pass."""
+    rows = [(i, "w " * (20 + i % 3), "ab"[i % 3 == 0]) for i in range(500)]
+    docs = frame(spark, rows).withColumns({c: F.lit("mine") for c in ("_key", "_class", "_slice", "_hash", "_id", "_rank", "_before")})
+    few = mixing.plan(docs).collect()
+    monkeypatch.setattr(mixing, "CELL_ROWS", 2)
+    many = mixing.plan(docs).collect()
+    assert sorted((r.doc_id, r.copies) for r in few) == sorted((r.doc_id, r.copies) for r in many)
+    assert all(r._key == r._class == r._slice == r._hash == r._id == r._rank == r._before == "mine" for r in many)
+
+
 def test_targets_are_refilled(spark):
     sizes = [("sa", 10), ("sb", 1000), ("sc", 1000), ("n", 5)]
     got = {r._key: r.target for r in mixing.targets(spark.createDataFrame(sizes, "_key string, source_size long")).collect()}
