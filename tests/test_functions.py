@@ -125,3 +125,13 @@ def test_packed_words(spark):
     )
     for r in pairs.collect():
         assert r.d == model.dice(sets[r.i], sets[r.j])
+
+
+def test_dense_computes_costly_words_once(spark):
+    """Words that an expression gives are computed before the bits, not again for each of them."""
+    costly = F.expr("transform(array(id, id + 1), x -> aggregate(sequence(1, 5), x, (a, i) -> a * 3 + i))")
+    found = spark.range(4).select("id", costly.alias("words")).select("id", "words", bitwords.dense(F.col("words"), 100).alias("d"))
+    slim = found.select("id", "d")
+    assert str(slim._jdf.queryExecution().optimizedPlan()).count("Project [") == 2
+    for r in found.collect():
+        assert r.d == [(r.words[i // 64] >> (i % 64)) & 1 for i in range(100)]

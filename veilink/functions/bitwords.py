@@ -49,13 +49,12 @@ def set_bits(filters: DataFrame, size: int) -> DataFrame:
 
 
 def dense(words: Column, size: int) -> Column:
-    """Export form: array<int> of 0 and 1, length ``size``."""
+    """Export form: array<int> of 0 and 1, length ``size``.
 
-    def value(bit: Column) -> Column:
-        word = F.get(words, F.floor(bit / WORD).cast("int"))
-        return F.bit_get(word, F.pmod(bit, F.lit(WORD)).cast("int")).cast("int")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
+    Every bit names ``words`` on its own, so the planner computes a costly ``words`` once, before this; inside a lambda,
+    where it is named once, it would be computed again for each bit.
+    """
+    return F.array(*[F.bit_get(F.get(words, F.lit(bit // WORD)), F.lit(bit % WORD)).cast("int") for bit in range(size)])
 
 
 def cardinality(words: Column, n: int) -> Column:
