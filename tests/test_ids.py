@@ -184,3 +184,23 @@ def test_a_cluster_needs_a_shared_folder():
     Context.master = "local-cluster[2,1,1024]"
     with pytest.raises(ValueError):
         store.checkpoint_root(Session())
+
+
+def test_encoding_of_a_sweep_by_array(spark):
+    """Rows of several configurations are looked up a batch at a time: the filters of the expression, values of all kinds."""
+    odd = ["", None, "Çé 日本 😀", "_", "A", "😀😀"]
+    a = people(spark, 60).withColumn("guardian", F.get(F.array(*[F.lit(x).cast("string") for x in odd]), (F.col("id") % 7).cast("int")))
+    a = a.withColumn("city_code", F.col("id").cast("int")).repartition(3)
+    configs = [LinkConfig(3, m=100, k=2, hash="DoubleHash"), LinkConfig(7, m=200, k=3, hash="DoubleHash", encoding="ABF")]
+    swept = encode(a, ATTRS, configs, codebook([a], [ATTRS], configs), ["id"])
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan and "Exchange SinglePartition" not in plan
+    got = {(r.config_id, r.id): r.words for r in swept.collect()}
+    for config in configs:
+        alone = encode(a, ATTRS, [config], codebook([a], [ATTRS], [config]), ["id"]).collect()
+        assert len(alone) == 60
+        for r in alone:
+            words = got[config.config_id, r.id]
+            assert words[: len(r.words)] == r.words and not any(words[len(r.words) :])
+    none = encode(a.where("id < 0"), ATTRS, configs, codebook([a.where("id < 0")], [ATTRS], configs), ["id"])
+    assert none.count() == 0

@@ -2,7 +2,8 @@
 
 A filter is the OR of its bigrams' filters, also for the resampled record-level form (copying bits keeps
 OR).  So each distinct (attribute, bigram) is hashed once into a codebook of packed filters, and a record
-is encoded by looking its bigrams up there and OR-ing fixed-width words, in one expression per record.
+is encoded by looking its bigrams up there and OR-ing fixed-width words: in one expression per record for one
+configuration, by array for the rows that a sweep's configurations make of each record.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import bitwords, hashing
 from ..functions.draws import unit_draw
 from ..functions.text import PAD, with_tokens
 from ..sources.store import Stored, store
 from ..sources.sweep import CLK, RLB, LinkConfig, config_rows, widest
+from .lookup import encode_batches, token_names
 
 
 def with_configs(people: DataFrame, configs: Sequence[LinkConfig]) -> DataFrame:
@@ -90,13 +94,15 @@ class Codebook:
 
     ``letters``, made while the counted rows fit ``LETTERS_BYTES``, is the same in one value, found without a join: an array
     by configuration and attribute of (first characters, for each of them (second characters, their filters)).  ``places``
-    says where a configuration's attributes begin in it.
+    says where a configuration's attributes begin in it.  For several configurations ``arrays`` is made instead, within the
+    same bound: by configuration and attribute the sorted names of the bigrams and their filters, which all tasks get.
     """
 
     table: Stored
     words: int
     places: dict[int, int]
     letters: Stored | None = None
+    arrays: Broadcast | None = None
 
 
 def _letters(table: DataFrame, words: int, places: dict[int, int], n_places: int) -> DataFrame:
@@ -118,6 +124,21 @@ def _letters(table: DataFrame, words: int, places: dict[int, int], n_places: int
     return one.select(F.col("p.node").alias("letters"))
 
 
+def _arrays(table: DataFrame, words: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The codebook by (configuration, attribute); its size is bounded by the caller."""
+    filters = [F.coalesce(f"w{i}", F.lit(0).cast("bigint")).alias(f"w{i}") for i in range(words)]
+    rows = table.select("config_id", "attr_idx", "token", *filters).toArrow()
+    config, place = (rows[c].to_numpy() for c in ("config_id", "attr_idx"))
+    names = token_names(rows["token"].combine_chunks())
+    packed = np.stack([rows[f"w{i}"].to_numpy().view(np.uint64) for i in range(words)])
+    book = {}
+    for key in sorted(set(zip(config.tolist(), place.tolist(), strict=True))):
+        own = np.flatnonzero((config == key[0]) & (place == key[1]))
+        own = own[np.argsort(names[own])]
+        book[key] = names[own], np.pad(packed[:, own], ((0, 0), (0, 1)))
+    return book
+
+
 def codebook(
     people: Sequence[DataFrame], columns: Sequence[list[str]], configs: Sequence[LinkConfig], mode: str = "literal"
 ) -> Codebook:
@@ -143,10 +164,13 @@ def codebook(
     table = store(book, "codebook")
     attributes = max(map(len, columns))
     places = {c.config_id: at * attributes for at, c in enumerate(configs)}
-    letters = None
+    letters = arrays = None
     if table.rows * (64 + 8 * words) <= LETTERS_BYTES:
-        letters = store(_letters(table.frame, words, places, attributes * len(configs)), "letters")
-    return Codebook(table, words, places, letters)
+        if len(configs) > 1:
+            arrays = spark.sparkContext.broadcast(_arrays(table.frame, words))
+        else:
+            letters = store(_letters(table.frame, words, places, attributes * len(configs)), "letters")
+    return Codebook(table, words, places, letters, arrays)
 
 
 def merged_filters(values: list[Column], place: Column, letters: Column, words: int) -> Column:
@@ -177,11 +201,21 @@ def encode(people: DataFrame, columns: list[str], configs: Sequence[LinkConfig],
     """Filters of every record: (config_id, keep..., words).  Records with equal ``keep`` stay apart.
 
     While the codebook fits one value, a record's filter is one expression over its attributes: no rows per bigram, no
-    exchange, no Python.  A larger codebook is met by a shuffled join, so records carry a row number; they are written
+    exchange, no Python.  For several configurations, of which each has a row per record, the values of a batch of rows are
+    looked up by array instead, at a thirtieth of the expression's time.  A larger codebook is met by a shuffled join, so records carry a row number; they are written
     with it first, so that a task that runs again finds the numbers unchanged.  Null tokens take no part in that join.
     """
     rows = with_configs(people.select(*dict.fromkeys(keep + columns + _config_column(people))), configs)
     carried = ["config_id", *keep]
+    if book.arrays:
+        values = [F.col(c).cast("string").alias(f"_value{i}") for i, c in enumerate(columns)]
+        out = T.StructType([*(rows.schema[c] for c in carried), T.StructField("words", T.ArrayType(T.LongType()))])
+        arrays, n_values, words, names = book.arrays, len(values), book.words, [*carried, "words"]
+
+        def look_up(batches):
+            return encode_batches(batches, arrays.value, n_values, words, PAD, names)
+
+        return rows.select(*carried, *values).mapInArrow(look_up, out)
     if book.letters:
         values = [F.col(c).cast("string") for c in columns]
         starts = list(book.places.items())
