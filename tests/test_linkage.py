@@ -1,6 +1,7 @@
 import random
 
 import model
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from veilink.functions.bitwords import set_bits
 from veilink.operators.distinct import distinct_filters, last_per_id
 from veilink.operators.encode import block_filter, codebook, encode, gather_lists
 from veilink.operators.match import best_of, candidate_map, candidates_long, pair_dice, search_all, search_tree
+from veilink.operators.subtree import best_in_tile
 from veilink.operators.tree import build_tree, leaf_members, leaf_of, splits_of
 from veilink.sources.sweep import LinkConfig
 
@@ -205,3 +207,24 @@ def test_last_record_of_a_repeated_id(spark):
     rows = [(1, 5, [1], 1), (1, 5, [2], 2), (1, 6, [3], 1)]
     df = spark.createDataFrame(rows, "config_id int, id bigint, words array<bigint>, ord bigint")
     assert {(r.id, r.words[0]) for r in last_per_id(df).collect()} == {(5, 2), (6, 3)}
+
+
+def test_best_in_tile_equals_all_pairs():
+    """The best of each cardinality decides: first row on ties, across cardinalities too; empty filters have none."""
+    draw = np.random.default_rng(5)
+    a = (draw.random((700, 20)) < draw.choice([0.1, 0.3, 0.6], (700, 1))).astype(np.uint8)
+    b = np.concatenate((a[:90], (draw.random((60, 20)) < 0.3).astype(np.uint8), np.zeros((1, 20), np.uint8)))
+    index, score = best_in_tile(a, b, step=32, width=16)
+    both, total = b.astype(int) @ a.T, b.sum(1, dtype=int)[:, None] + a.sum(1, dtype=int)
+    dice = np.where(total > 0, 2.0 * both / np.maximum(total, 1), 0.0)
+    assert (score == dice.max(axis=1)).all()
+    assert (index == np.where(dice.max(axis=1) > 0, dice.argmax(axis=1), -1)).all()
+
+
+def test_exhaustive_search_meets_large_tiles(spark):
+    """A's filters make few tiles, so that B's filters are not exchanged for every two thousand of them."""
+    a = spark.range(20_000).select(F.lit(1).alias("config_id"), "id", F.array(F.xxhash64("id")).alias("words"))
+    b = spark.range(1).select(F.lit(1).alias("config_id"), "id", F.array(F.xxhash64(F.lit("other"))).alias("words"))
+    figures = {}
+    assert search_all(distinct_filters(a), b, ["id"], figures=figures).count() == 1
+    assert 1 <= figures["all"] <= 8
