@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import model
 import numpy as np
@@ -6,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilink.functions.bitwords import set_bits
+from veilink.operators import tree
 from veilink.operators.distinct import distinct_filters, last_per_id
 from veilink.operators.encode import block_filter, codebook, encode, gather_lists
 from veilink.operators.match import best_of, candidate_map, candidates_long, pair_dice, search_all, search_tree
-from veilink.operators.subtree import best_in_tile
+from veilink.operators.subtree import best_in_tile, bit_matrix, grow
 from veilink.operators.tree import build_tree, leaf_members, leaf_of, splits_of
 from veilink.sources.sweep import LinkConfig
 
@@ -209,6 +211,17 @@ def test_last_record_of_a_repeated_id(spark):
     assert {(r.id, r.words[0]) for r in last_per_id(df).collect()} == {(5, 2), (6, 3)}
 
 
+def test_a_subtree_stays_small_in_memory():
+    """A task that finishes a subtree of the default bound unpacks and counts it in a few tens of MB."""
+    rows = tree.SUBTREE_BYTES // 100
+    words = np.random.default_rng(3).integers(0, 2**50, (rows, 2), dtype=np.uint64)
+    tracemalloc.start()
+    grow(bit_matrix(words)[:, :100], np.ones(rows, np.int64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 2**20
+
+
 def test_best_in_tile_equals_all_pairs():
     """The best of each cardinality decides: first row on ties, across cardinalities too; empty filters have none."""
     draw = np.random.default_rng(5)

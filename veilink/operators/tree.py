@@ -28,7 +28,7 @@ from .subtree import bit_matrix, count_batches, grow, word_matrix
 
 SPLIT_ROW_BYTES = 160
 HOPS = 6
-SUBTREE_BYTES = 16 * 1024 * 1024
+SUBTREE_BYTES = 4 * 1024 * 1024
 
 
 @dataclass(frozen=True)
