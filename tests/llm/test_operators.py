@@ -428,6 +428,28 @@ def test_search_in_small_blocks(spark, monkeypatch):
     test_search(spark)
 
 
+def test_search_in_many_rounds(spark, monkeypatch):
+    """Many shards in rounds of one, one, two, four..., with fewer queries than shards, equal SQL."""
+    for name, value in {"SHARD_DOCUMENTS": 9, "GROUP_QUERIES": 4, "FIRST_SHARDS": 1}.items():
+        monkeypatch.setattr(topk, name, value)
+    test_search(spark)
+
+
+def test_shards_return_nothing_below_the_score_so_far(spark, monkeypatch):
+    kept = {}
+    store = topk.store
+    monkeypatch.setattr(topk, "store", lambda df, label, **more: kept.setdefault(label, store(df, label, **more)))
+    topk.search(frame(spark, awkward(9, 150)), k=4, every=10)
+    index, asked = ([r.asDict() for r in kept[label].frame.collect()] for label in ("search-index", "search-queries"))
+    n, mean = sum(len(r["lens"]) for r in index), sum(sum(r["lens"]) for r in index) / sum(len(r["lens"]) for r in index)
+    search = lambda **more: {q: list(zip(d.tolist(), s.tolist())) for q, d, s in topk.search_shard(lambda: iter(index), lambda: iter(asked), 4, n, mean, **more)}
+    whole = search()
+    reach = {q: rows[1][1] for q, rows in whole.items() if len(rows) > 1}
+    assert len(reach) > 5 and any(rows[-1][1] < reach.get(q, 0) for q, rows in whole.items())
+    assert search(reach=reach) == {q: [r for r in rows if r[1] >= reach.get(q, 0)] for q, rows in whole.items()}
+    assert search(reach=dict.fromkeys(whole, 1e9)) == {}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_search_with_null_and_repeated_ids(spark, monkeypatch, small):
     """Null ids that rank first take no place, rows of one id are one query and one document, as in SQL."""
