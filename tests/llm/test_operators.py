@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilink.llm import bilinear, components, jaccard, kneser, mixing, packing, registry, rules, topk, urls
+from veilink.sources.store import store
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "text string, doc_id long, source string, lang string, n_chars long, chunk int, size int, _row string, word string"
@@ -81,6 +82,18 @@ def test_repeated_id_keeps_the_links_of_all_its_texts(spark):
     assert got == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
 
 
+def test_shingles_travel_once(spark):
+    """A table in buckets is joined without an exchange of its own, and leaves no name behind."""
+    held = store(spark.range(200).withColumn("items", F.array("id")).repartition(3, "id"), "held", buckets=(3, "id"))
+    assert held.rows == 200
+    met = spark.range(100).withColumn("v", F.col("id") + 1).repartition(5).join(held.frame.hint("merge"), "id")
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r.v for r in met.collect()) == list(range(1, 101))
+    held.drop()
+    jaccard.similarity_classes(frame(spark, awkward(3, 60))).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("veilink_")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -16,6 +16,8 @@ Steps
    classes are those of all links.
 Filters by size and by place in the common order apply to every candidate and lose no link.
 
+Representatives are written once in buckets of their id, and all joins by id read these: their shingles travel once.
+
 Defined results: no words or null text: empty set, linked with nothing; fewer words than a shingle: the whole sequence
 as one; a null id is linked with nothing (null class); rows that repeat an id are one node of the link graph, with the
 links of each of their texts.
@@ -34,6 +36,7 @@ from veilink.llm.chunks import Chunk
 from veilink.llm.components import components
 from veilink.sources.store import Stored, store
 
+BUCKET_BYTES = 16 << 20
 SETS = "doc_id long, n long, items array<long>"
 PAIRS = "a long, b long"
 
@@ -98,7 +101,8 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     bits = chunks.range_bits(base.seen["bytes"] / 6)
     answers = chunks.ask(base.frame, keys_of, bits, 4, _spread)
-    sets = store(chunks.told(base.frame, answers, use, SETS), "sets")
+    items = F.coalesce(F.sum(F.size(F.coalesce("items", F.array())).cast("long")), F.lit(0).cast("long"))
+    sets = store(chunks.told(base.frame, answers, use, SETS), "sets", items=items)
     base.drop()
     return sets
 
@@ -171,9 +175,15 @@ def similarity_classes(
     kept = keyed.where("own IS NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     twins = keyed.where("own IS NULL").join(kept, same).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"), *same).where("a <> b")
     twins = store(twins, "twins")
-    # only the equal set goes: another text of the same id has links of its own
-    gone = twins.frame.select(F.col("b").alias("doc_id"), *same).distinct()
-    whole = store(able.join(gone, ["doc_id", *same], "left_anti").drop("k1", "k2"), "representatives")
+    # only the equal set goes: another text of the same id has links of its own.  Ranges instead of equalities leave the join
+    # to the id, so that the shingles are dealt out by it and no further time for their buckets
+    gone = twins.frame.select("b", *[F.col(c).alias(f"b_{c}") for c in same]).distinct()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * stored.seen["items"] // BUCKET_BYTES))
+    met = F.col("doc_id") == F.col("b")
+    for c in same:
+        met &= (F.col(c) >= F.col(f"b_{c}")) & (F.col(c) <= F.col(f"b_{c}"))
+    dealt = able.select("doc_id", "n", "items", "k1", "k2").repartition(parts, "doc_id")
+    whole = store(dealt.join(gone, met, "left_anti").drop("k1", "k2"), "representatives", buckets=(parts, "doc_id"))
     reps = whole.frame
     stored.drop()  # what follows needs the representatives' items and all sizes
 
