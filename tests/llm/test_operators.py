@@ -1,9 +1,11 @@
 """Each operator against a plain model, and on nulls, empty texts, ties, repeated rows and empty tables."""
 
+import ctypes
 import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import brute
 import duckdb
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilink.llm import bilinear, components, jaccard, kneser, mixing, packing, registry, rules, topk, urls
+from veilink.llm import bilinear, chunks, components, jaccard, kneser, mixing, packing, registry, rules, topk, urls
 from veilink.sources.store import store
 
 SMALL = "/root/testdata/sf0.001"
@@ -422,6 +424,42 @@ def test_few_toxic_words_in_clean_text(spark):
     assert sum(got[i] for i in range(120, 400, 2)) >= 133
 
 
+def test_classifier_spreads_its_sorts_and_sends_its_models_once(spark, monkeypatch):
+    """Tasks that sort the sample's n-grams follow its documents; two passes over the texts read one broadcast."""
+    docs = spark.createDataFrame([(i, f"good words all along n{i}", "en") for i in range(90)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    plans, sent = [], []
+
+    def stored(df, label, *more, **figures):
+        if label == "kn-counts":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, label, *more, **figures)
+
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda context, value: sent.append(1) or broadcast(context, value))
+    monkeypatch.setattr(kneser, "store", stored)
+    monkeypatch.setattr(kneser, "TASK_DOCUMENTS", 16)
+    assert kneser.judged(docs, labels, keep=["doc_id", "text"]).count() == 90
+    assert len(plans) == 1 and re.search(r"RepartitionByExpression \[m#\d+, v#\d+L?\], 5\b", plans[0])
+    assert len(sent) == 1
+
+
+def test_memory_goes_back(monkeypatch):
+    """What a task has freed leaves its process, and every task's stream ends with that."""
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("needs glibc")
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    blocks = [np.ones(12_000) for _ in range(2000)]
+    blocks = blocks[::40]  # the rest lies freed between these
+    before = held()
+    chunks.give_back()
+    assert before - held() > 100 and len(blocks) == 50
+    calls = []
+    monkeypatch.setattr(chunks, "give_back", lambda: calls.append(1))
+    assert list(chunks.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    assert len(calls) == 2
+
+
 # --- search
 
 

@@ -158,7 +158,7 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("items").alias("a_items"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("items").alias("b_items"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_items", "b_items")
-    return met.mapInArrow(probe, PAIRS)
+    return met.mapInArrow(chunks.tidy(probe), PAIRS)
 
 
 def similarity_classes(

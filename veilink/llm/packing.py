@@ -189,4 +189,4 @@ def pack(
         return table.append_column("offset", pa.array(offsets)).cast(packed_schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(cut, CUT).groupBy("part").applyInArrow(fill, PACKED)
+    return slim.mapInArrow(chunks.tidy(cut), CUT).groupBy("part").applyInArrow(fill, PACKED)
