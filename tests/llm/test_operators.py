@@ -501,6 +501,26 @@ def test_shards_return_nothing_below_the_score_so_far(spark, monkeypatch):
     assert search(reach=dict.fromkeys(whole, 1e9)) == {}
 
 
+def test_a_shard_is_searched_in_pieces(spark, monkeypatch):
+    """One piece's postings are laid out at a time, and the pieces' best documents are the shard's."""
+    kept, sides, store, side = {}, [], topk.store, topk.Side
+    monkeypatch.setattr(topk, "store", lambda df, label, **more: kept.setdefault(label, store(df, label, **more)))
+    topk.search(frame(spark, awkward(9, 150)), k=4, every=10)
+    index, asked = ([r.asDict() for r in kept[label].frame.collect()] for label in ("search-index", "search-queries"))
+    monkeypatch.setattr(topk, "Side", lambda *a: sides.append(side(*a)) or sides[-1])
+    n, mean = sum(len(r["lens"]) for r in index), sum(sum(r["lens"]) for r in index) / sum(len(r["lens"]) for r in index)
+    search = lambda k: {q: list(zip(d.tolist(), s.tolist())) for q, d, s in topk.search_shard(lambda: iter(index), lambda: iter(asked), k, n, mean)}
+    whole = {k: search(k) for k in (1, 4, 500)}
+    total = len(sides[1].terms)
+    assert len(index) > 1 and len(whole[4]) > 5 and [len(s.terms) for s in sides[1::2]] == [total] * 3
+    sides.clear()
+    monkeypatch.setattr(topk, "PIECE_POSTINGS", 1, raising=False)
+    for k, want in whole.items():
+        assert search(k) == want
+    assert len(sides) == len(whole) * (1 + len(index))  # each time the queries, then every piece
+    assert sum(len(s.terms) for s in sides[1 : 1 + len(index)]) == total > 2 * max(len(s.terms) for s in sides[1 : 1 + len(index)])
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_search_with_null_and_repeated_ids(spark, monkeypatch, small):
     """Null ids that rank first take no place, rows of one id are one query and one document, as in SQL."""
