@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilink.functions.bitwords import set_bits
-from veilink.operators import tree
+from veilink.operators import match, tree
 from veilink.operators.distinct import distinct_filters, last_per_id
 from veilink.operators.encode import block_filter, codebook, encode, gather_lists
 from veilink.operators.match import best_of, candidate_map, candidates_long, pair_dice, search_all, search_tree
@@ -241,3 +241,22 @@ def test_exhaustive_search_meets_large_tiles(spark):
     figures = {}
     assert search_all(distinct_filters(a), b, ["id"], figures=figures).count() == 1
     assert 1 <= figures["all"] <= 8
+
+
+def test_exhaustive_search_exchanges_little(spark, monkeypatch):
+    """Sides that unpack to ten tiles: B's filters are not copied for each of them."""
+    rows = lambda n, seed: spark.range(n).select(F.lit(1).alias("config_id"), "id", F.array(F.xxhash64("id", F.lit(seed)).bitwiseAND(0xFFFFF)).alias("words"))
+    monkeypatch.setattr(match, "TILE_BYTES", match.TILE_BYTES // 64)
+    n, figures = 10 * 2048, {}
+    assert search_all(distinct_filters(rows(n, 1)), rows(n, 2), ["id"], figures=figures).count() == n
+    assert figures["all"] <= 2 * match.MIN_TILES * n
+
+
+def test_pieces_of_a_tile_equal_the_whole():
+    draw = np.random.default_rng(7)
+    a, b = (draw.integers(0, 2**12, (n, 1), dtype=np.uint64) for n in (500, 333))
+    b[:3] = 0
+    for rows in (64, 100, 1000):
+        index, score = match._best_by_pieces(a, b, rows)
+        want = best_in_tile(bit_matrix(a), bit_matrix(b))
+        assert (index == want[0]).all() and (score == want[1]).all()
